@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licences, mixing, quality, sharding
+from . import decontaminate, exact_dedup, licences, mixing, quality, sharding, token_counts, token_files
 from .common import write_table
 
 
@@ -29,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, items).drop("starts", "ends")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.line_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -52,6 +56,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
@@ -61,8 +69,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality_ranking": op2_quality_ranking,
         "op3_decontaminate": op3_decontaminate,
+        "op4_token_counts": op4_token_counts,
         "op5_shard_bytes": op5_shard_bytes,
         "op6_mix_sources": op6_mix_sources,
+        "op7_token_files": op7_token_files,
         "op10_licence_scan": op10_licence_scan,
     }
 
@@ -174,5 +184,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": _OP1,
         "op3_decontaminate": _OP3,
         "op6_mix_sources": _OP6,
+        "op7_token_files": op7_token_files,
         "op10_licence_scan": _op10(),
     }
