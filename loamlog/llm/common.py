@@ -46,6 +46,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def join_rows(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """rows joined to wanted by a long key; wanted is broadcast if it has few rows, counted before."""
+    few = wanted.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(wanted) if few else wanted, on)
+
+
 def global_prefix(
     df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], name: str = "prefix"
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, global_prefix, write_table
+from .common import SPACES, global_prefix, join_rows, write_table
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -92,3 +92,15 @@ def mix(
         .withColumn("_offset", start)
         .select(*docs.columns, "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs with all their columns, each row as often as the mix takes it."""
+    marked = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
+    slim = marked.select(
+        F.col("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+    )
+    taken = mix(write_table(slim, "words"), ["doc_id", "_row"]).filter("copies > 0").select("_row", "copies")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return join_rows(marked, write_table(taken, "taken"), "_row").withColumn("_copy", each).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, sharding, token_counts, token_files
+from . import decontaminate, exact_dedup, licences, mixing, near_dedup, quality, sharding, substring, token_counts, token_files
 from .common import write_table
 
 
@@ -60,6 +60,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_shard_bytes": op5_shard_bytes,
         "op6_mix_sources": op6_mix_sources,
         "op7_token_files": op7_token_files,
+        "op8_repeated_passages": op8_repeated_passages,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_licence_scan": op10_licence_scan,
     }
@@ -190,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": _OP3,
         "op6_mix_sources": _OP6,
         "op7_token_files": op7_token_files,
+        "op8_repeated_passages": op8_repeated_passages,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_licence_scan": _op10(),
     }
