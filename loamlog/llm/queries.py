@@ -194,8 +194,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": _OP1,
         "op3_decontaminate": _OP3,
         "op6_mix_sources": _OP6,
-        "op7_token_files": op7_token_files,
-        "op8_repeated_passages": op8_repeated_passages,
-        "op9_near_duplicates": op9_near_duplicates,
         "op10_licence_scan": _op10(),
     }
