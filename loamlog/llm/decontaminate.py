@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_bytes, write_table
+from .common import free_name, word_bytes, write_table
 
 #: Words of a window; items of fewer are one window.
 WINDOW = 13
@@ -309,9 +309,9 @@ def clean_documents(
         a.shortest = min([window, *(len(w) for w in words if len(w) > 1)])
         run = _cleaner(docs.sparkSession.sparkContext.broadcast(a), window, coverage, text_col)
         return docs.mapInArrow(run, docs.schema)
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = write_table(marked, "to-clean")
+    row = free_name(docs, "_row")
+    marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "to-clean")
     bad = decontaminate(
-        marked, benchmark, window, coverage, "_row", text_col, item_id, item_text, block_words
+        marked, benchmark, window, coverage, row, text_col, item_id, item_text, block_words
     ).filter("contaminated")
-    return marked.join(bad.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    return marked.join(bad.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, write_table
+from .common import SPACES, free_name, write_table
 
 #: Counters of a Misra-Gries summary; also the most rows that are ever broadcast.
 COUNTERS = 1024
@@ -98,5 +98,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, with all their columns. Ids must tell rows apart."""
-    dropped = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
+    key = free_name(docs, "_dropped")
+    dropped = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(key))
+    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, global_prefix, join_rows, write_table
+from .common import SPACES, free_name, global_prefix, join_rows, write_table
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -54,6 +54,7 @@ def mix(
     docs: DataFrame,
     order: list[str],
     size_col: str = "size",
+    source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST_COPIES,
     seed: int = SEED,
@@ -74,33 +75,37 @@ def mix(
     """
     docs = docs.drop("source_size", "target", "copies")
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
-    sizes = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
-    targets = source_targets(sizes, weights, most).select(
-        F.col("source").alias("_source"), "source_size", "target"
+    keys = [f"_o{i}" for i in range(len(order))]
+    packed = docs.select(
+        F.struct(*docs.columns).alias("_in"), F.col(source_col).alias("_source"), size.alias("_size"),
+        *[F.col(c).alias(k) for c, k in zip(order, keys)],
     )
+    sizes = packed.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
+    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_name")
     targets = write_table(targets, "targets")  # one row per source
-    by = [F.col(size_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
-    ranked = global_prefix(docs, ["source"], by, {"_rank": F.lit(1).cast("long")}, "mix")
+    by = [F.col("_size"), *[F.col(k).asc_nulls_first() for k in keys]]
+    ranked = global_prefix(packed, ["_source"], by, {"_rank": F.lit(1).cast("long")}, "mix")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = offset_of(F.col("source"), seed)
     crossed = F.floor((F.col("_rank") + 1) * F.col("_each") + F.col("_offset")) - F.floor(
         F.col("_rank") * F.col("_each") + F.col("_offset")
     )
     return (
-        ranked.join(targets, ranked["source"].eqNullSafe(targets["_source"]), "left")
+        ranked.join(targets, ranked["_source"].eqNullSafe(targets["_name"]), "left")
         .withColumn("_each", each)
-        .withColumn("_offset", start)
-        .select(*docs.columns, "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
+        .withColumn("_offset", offset_of(F.col("_source"), seed))
+        .select("_in.*", "source_size", "target", F.least(crossed, F.lit(most)).cast("long").alias("copies"))
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with all their columns, each row as often as the mix takes it."""
-    marked = write_table(docs.withColumn("_row", F.monotonically_increasing_id()), "to-mix")
+    row, copy = free_name(docs, "_row"), free_name(docs, "_copy")
+    marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "to-mix")
     slim = marked.select(
-        F.col("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
     )
-    taken = mix(write_table(slim, "words"), ["doc_id", "_row"]).filter("copies > 0").select("_row", "copies")
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return join_rows(marked, write_table(taken, "taken"), "_row").withColumn("_copy", each).select(*docs.columns)
+    taken = mix(write_table(slim, "words"), ["doc_id", "row"]).filter("copies > 0")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))
+    taken = write_table(taken.select(F.col("row").alias(row), F.col("copies").alias(copy)), "taken")
+    return join_rows(marked, taken, row).withColumn(copy, each).select(*docs.columns)

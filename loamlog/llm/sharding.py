@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_prefix, write_table
+from .common import free_name, global_prefix, write_table
 
 SHARDS = 16
 
@@ -29,22 +29,28 @@ def shard_by_bytes(docs: DataFrame, order: list[str], size_col: str = "size", sh
     """
     docs = docs.drop("shard", "slot")
     size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
-    by = [F.col(c).asc_nulls_first() for c in order]
-    placed = global_prefix(docs, [], by, {"_before": size, "_index": F.lit(1).cast("long")}, "shards")
+    keys = [f"_o{i}" for i in range(len(order))]
+    packed = docs.select(
+        F.struct(*docs.columns).alias("_in"), size.alias("_size"), *[F.col(c).alias(k) for c, k in zip(order, keys)]
+    )
+    by = [F.col(k).asc_nulls_first() for k in keys]
+    placed = global_prefix(packed, [], by, {"_before": F.col("_size"), "_index": F.lit(1).cast("long")}, "shards")
     placed = write_table(placed, "placed")
-    total = placed.agg(F.sum(size)).first()[0] or 1
-    cut = F.expr(f"least({shards - 1}, (_middle * {shards}) div {2 * total})").cast("int")
-    cut_rows = placed.withColumn("_middle", F.col("_before") * 2 + size).withColumn("shard", cut)
+    total = placed.agg(F.sum("_size")).first()[0] or 1
+    cut = F.expr(f"least({shards - 1}, ((_before * 2 + _size) * {shards}) div {2 * total})").cast("int")
+    cut_rows = placed.withColumn("shard", cut)
     firsts = cut_rows.groupBy("shard").agg(F.min("_index").alias("_first"))  # at most `shards` rows
     return cut_rows.join(F.broadcast(firsts), "shard").select(
-        *docs.columns, "shard", (F.col("_index") - F.col("_first")).alias("slot")
+        "_in.*", "shard", (F.col("_index") - F.col("_first")).alias("slot")
     )
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """Writes whole documents as one folder per shard, in slot order; placed has id_col, shard and slot."""
-    marks = placed.select(F.col(id_col).alias("_id"), "shard", "slot")
-    joined = docs.drop("shard", "slot").join(marks, docs[id_col].eqNullSafe(marks["_id"])).drop("_id")
+    docs = docs.drop("shard", "slot")
+    key = free_name(docs, "_id")
+    marks = placed.select(F.col(id_col).alias(key), "shard", "slot")
+    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard"
     ).parquet(path)
