@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import global_rank
 
 
 def equal(df: DataFrame, key: Column | str, value) -> DataFrame:
@@ -112,8 +113,8 @@ def text_order(c: Column) -> list[Column]:
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rows with their place in an order; for results small enough to be read, as the whole order is one window."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Rows with their place in an order, from 1, without sorting all of them in one task."""
+    return global_rank(df, order, name)
 
 
 def materialise(df: DataFrame, key: str, path: str, kind: str = "btree", partitions: int = 0) -> None:

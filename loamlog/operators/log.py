@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import global_lag
+
 KEYS = ("collection_id", "entity_id")
 
 
@@ -93,13 +95,21 @@ def backup_records(log: DataFrame, sequence: int, tombstones: bool) -> DataFrame
     return then if tombstones else live(then)
 
 
-def classify_changes(log: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Each version as insert, update or delete, by whether the entity existed before it."""
+def _kind(before: Column) -> Column:
+    return F.when(F.col("is_tombstone"), "delete").when(F.coalesce(before, F.lit(True)), "insert").otherwise("update")
+
+
+def classify_changes(log: DataFrame, keys: tuple[str, ...] = KEYS, spread: bool = False) -> DataFrame:
+    """Each version as insert, update or delete, by whether the entity existed before it.
+
+    An entity's versions are sorted in one task; with spread, for logs in which an entity may have a large share of
+    all versions, they are sorted by range over many.
+    """
+    if spread:
+        placed = global_lag(log, "is_tombstone", list(keys), "sequence", "_before")
+        return placed.withColumn("change_type", _kind(F.col("_before"))).drop("_before")
     before = F.lag("is_tombstone").over(Window.partitionBy(*keys).orderBy("sequence"))
-    kind = (
-        F.when(F.col("is_tombstone"), "delete").when(F.coalesce(before, F.lit(True)), "insert").otherwise("update")
-    )
-    return log.withColumn("change_type", kind)
+    return log.withColumn("change_type", _kind(before))
 
 
 def recover(operations: DataFrame, commits: DataFrame, checkpoint: int = 0) -> DataFrame:

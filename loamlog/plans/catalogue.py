@@ -128,6 +128,12 @@ def classify_changes(spark, sf):
     return log.classify_changes(event_log(spark, sf)).select("entity_id", "sequence", "change_type")
 
 
+@query(f"WITH {CHANGES} SELECT entity_id, sequence, change_type FROM changes")
+def classify_changes_spread(spark, sf):
+    changes = log.classify_changes(event_log(spark, sf), spread=True)
+    return changes.select("entity_id", "sequence", "change_type")
+
+
 @query(f"WITH {CHANGES} SELECT change_type, count(*) AS n FROM changes GROUP BY change_type")
 def change_counts_by_type(spark, sf):
     return log.classify_changes(event_log(spark, sf)).groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))

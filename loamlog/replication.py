@@ -1,0 +1,97 @@
+"""Keeping two stores alike: pull, resolve, apply, push."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .operators import sync
+from .operators.log import latest
+from .store import EntityStore
+
+PROTOCOL = 1
+
+
+@dataclass
+class Outcome:
+    pulled: int = 0
+    pushed: int = 0
+    conflicts: list[tuple[str, str, str]] = field(default_factory=list)  # entity, kind, resolution
+    stopped: bool = False
+
+
+class Replica:
+    """A local store that works offline and now and then is made like a remote one.
+
+    Cursors are commits: what of the remote's is here, and what of ours is there. They are in the local manifest,
+    so what isn't pushed yet survives a restart.
+    """
+
+    def __init__(self, local: EntityStore, remote: EntityStore, policy: str = "server_wins", protocol: int = PROTOCOL):
+        if protocol != PROTOCOL:
+            raise ValueError(f"protocol {protocol}")
+        if policy not in sync.POLICIES:
+            raise ValueError(policy)
+        self.local, self.remote, self.policy = local, remote, policy
+
+    @property
+    def cursors(self) -> dict[str, int]:
+        return self.local._manifest().get("sync", {"pulled": 0, "pushed": 0})
+
+    def _newest(self, store: EntityStore, after: int) -> DataFrame:
+        names = [(v, k) for k, v in store.collections().items()]
+        named = store.spark.createDataFrame(names, "collection_id long, collection string")
+        return latest(store.changes(after)).join(F.broadcast(named), "collection_id").select(
+            "collection", "entity_id", "payload", "is_tombstone"
+        )
+
+    def _apply(self, store: EntityStore, rows: DataFrame, names: list[str]) -> int:
+        n = rows.count()
+        if n:
+            with store.transaction() as t:
+                for name in names:
+                    store.create_collection(name)
+                    t.put_frame(name, rows.filter(F.col("collection") == name).select("entity_id", "payload"))
+        return n
+
+    def cycle(self) -> Outcome:
+        """One exchange. Unresolved conflicts stop it before anything is changed."""
+        out, at = Outcome(), self.cursors
+        theirs, ours = self._newest(self.remote, at["pulled"]), self._newest(self.local, at["pushed"])
+        keys = ["collection", "entity_id"]
+        mine = ours.select(*keys, F.col("payload").alias("_ours"))
+        both = theirs.join(mine, keys).filter(~F.col("payload").eqNullSafe(F.col("_ours")))
+        kind = sync.conflict_kind(F.col("_ours"), F.col("payload"), F.sha2("_ours", 256), F.sha2("payload", 256))
+        met = both.select(*keys, kind.alias("kind"), sync.resolution(self.policy).alias("resolution"))
+        out.conflicts = [(r["entity_id"], r["kind"], r["resolution"]) for r in met.toLocalIterator()]
+        made = sync.POLICIES[self.policy]
+        if out.conflicts and made == "skip":
+            out.stopped = True
+            return out
+        names = sorted({*self.local.collections(), *self.remote.collections()})
+        seen = self.remote.committed_sequence
+        if made == "keep_local":
+            theirs = theirs.join(ours.select(*keys), keys, "left_anti")
+        else:
+            ours = ours.join(theirs.select(*keys), keys, "left_anti")
+        out.pushed = self._apply(self.remote, ours, names)
+        out.pulled = self._apply(self.local, theirs, names)
+        done = {"pulled": max(seen, self.remote.committed_sequence), "pushed": self.local.committed_sequence}
+        self.local._set(sync=done)
+        return out
+
+    def run(self, attempts: int = 3, retry: tuple[type[Exception], ...] = (OSError, FileExistsError),
+            wait: Callable[[float], None] = time.sleep) -> Outcome:
+        """cycle(), again after a growing wait where another writer or the storage got in between."""
+        for n in range(attempts):
+            wait(sync.backoff(n, 0.5, 2.0, 30.0))
+            try:
+                return self.cycle()
+            except retry:
+                if n + 1 == attempts:
+                    raise
+        raise ValueError("attempts")

@@ -174,6 +174,19 @@ class EntityStore:
         """Entities that ever were, removed ones too."""
         return self.records().select("collection_id", "entity_id").distinct().count()
 
+    def iterate(self, collection: str, as_of: int | None = None):
+        """Entities one by one, partition after partition, without holding all of them."""
+        return self.scan(collection, as_of).toLocalIterator()
+
+    def scan_with_limit(self, collection: str, n: int) -> DataFrame:
+        """Some n entities; bounded, so no policy forbids it."""
+        return log.scan(self.log(collection)).select("entity_id", "payload", "sequence").limit(n)
+
+    def commit_records(self, number: int) -> DataFrame:
+        """What one commit wrote."""
+        place = self.files.read(f"commits/{number}.json")["records"]
+        return self.spark.read.schema(RECORDS).parquet(f"{self.path}/{place}")
+
     def history(self, collection: str, entity_id: str) -> DataFrame:
         return log.history(self.log(collection), entity_id)
 
@@ -351,5 +364,12 @@ class EntityStore:
     def inspect(self) -> DataFrame:
         return inspect.collections(self.records(), "collection_id", F.coalesce(F.octet_length("payload"), F.lit(0)))
 
+    def snapshot_stats(self) -> dict[str, int]:
+        """Counters of this object, and what the store holds."""
+        held = inspect.counts(self.records()).first()
+        return dict(self.stats) | {
+            "commits": len(self.commits), "entity_count": held["chains"], "live_entities": held["live_entities"] or 0,
+        }
+
     def payload_hashes(self, collection: str) -> DataFrame:
         return log.scan(self.log(collection)).select("entity_id", conflicts.content_hash("payload").alias("current_hash"))

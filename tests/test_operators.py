@@ -145,3 +145,13 @@ def test_encryption(spark):
     assert texts == ["secret", "", None]
     assert df.filter(crypto.decrypt(F.col("e"), key, b"y").isNotNull()).count() == 0
     assert spark.range(1).select(crypto.crc32(F.lit("123456789"))).first()[0] == 0xCBF43926
+
+
+def test_order_over_many_partitions(spark):
+    rng = random.Random(7)
+    rows = [(1, 1 if rng.random() < 0.5 else rng.randrange(9), s, rng.random() < 0.3, None) for s in range(3000)]
+    df = spark.createDataFrame(rows, LOG).repartition(6)
+    kinds = lambda spread: rows_of(log.classify_changes(df, spread=spread).select("sequence", "change_type"))
+    assert kinds(True) == kinds(False)
+    got = access.ranked(df.select("sequence"), [F.desc("sequence")]).collect()
+    assert {r["sequence"]: r["rank"] for r in got} == {s: 3000 - s for s in range(3000)}

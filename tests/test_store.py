@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loamlog.functions.tokens import Tokenizer
 from loamlog.migrations import Registry
+from loamlog.replication import Replica
 from loamlog.sources.files import BackupError, read_backup
 from loamlog.store import ConflictError, EntityStore, ScanForbidden
 
@@ -159,3 +160,48 @@ def test_migrations(store):
     with pytest.raises(RuntimeError):
         r.run(store)
     assert store.schema_version == 2
+
+
+@pytest.fixture
+def pair(spark, tmp_path):
+    stores = [EntityStore(spark, str(tmp_path / n)) for n in ("local", "remote")]
+    for s in stores:
+        s.create_collection("notes")
+    return stores
+
+
+def test_replication(pair):
+    local, remote = pair
+    local.put("notes", "1", note("l"))
+    remote.put("notes", "2", note("r"))
+    remote.create_collection("more")
+    remote.put("more", "9", note("m"))
+    first = Replica(local, remote).run()
+    assert (first.pulled, first.pushed, first.conflicts) == (2, 1, [])
+    for s in pair:
+        assert {r["entity_id"] for r in s.scan("notes").collect()} == {"1", "2"} and s.get("more", "9") == note("m")
+    again = Replica(local, remote).run()
+    assert (again.pulled, again.pushed) == (0, 0)
+    local.delete("notes", "2")
+    assert Replica(local, remote).run().pushed == 1 and not remote.exists("notes", "2")
+
+
+@pytest.mark.parametrize(("policy", "title"), [("server_wins", "r"), ("last_write_wins", "r"), ("client_wins", "l"), ("manual", None)])
+def test_replication_conflicts(pair, policy, title):
+    local, remote = pair
+    local.put("notes", "1", note("l"))
+    remote.put("notes", "1", note("r"))
+    out = Replica(local, remote, policy).run()
+    assert [c[1] for c in out.conflicts] == ["update_update"]
+    if title is None:
+        assert out.stopped and local.get("notes", "1") == note("l") and remote.get("notes", "1") == note("r")
+    else:
+        assert local.get("notes", "1") == remote.get("notes", "1") == note(title)
+
+
+def test_more_reads(store):
+    for i in range(4):
+        store.put("notes", str(i), note(f"t{i}"))
+    assert sorted(r["entity_id"] for r in store.iterate("notes")) == ["0", "1", "2", "3"]
+    assert store.scan_with_limit("notes", 2).count() == 2 and store.commit_records(3).first()["entity_id"] == "2"
+    assert store.snapshot_stats()["entity_count"] == 4
