@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
-
 #: Labelled documents that the model is fitted on, at most: a sample by hash of the id.
 MAX_LABELLED = 20_000
 #: Preference pairs drawn from them.
@@ -24,32 +25,41 @@ FEATURES = ["words", "characters", "word_length", "symbols", "digits", "capitals
             "lines", "bars", "other"]
 
 
-def features(text: Column) -> Column:
-    """Measures of the whole text as one array of doubles; null and empty texts have all of them."""
-    text = F.coalesce(text, F.lit(""))
-    chars = F.length(text).cast("double")
-    words = F.filter(F.split(text, SPACES), lambda w: F.length(w) > 0)
+_STOPS, _SYMBOLS = b".!?", b"\"#$%&()*+/<=>@[\\]^_`{|}~"
 
-    def share(kept: str) -> Column:
-        return F.length(F.regexp_replace(text, kept, "")) / F.greatest(chars, F.lit(1.0))
 
-    n = F.size(words).cast("double")
-    some = F.greatest(n, F.lit(1.0))
-    again = F.size(F.filter(F.zip_with(words, F.slice(words, 2, 2147483647), lambda a, b: a == b), lambda same: same))
-    return F.array(
-        F.log1p(n),
-        F.log1p(chars),
+def features(text: str | None) -> list[float]:
+    """Measures of the whole text; null and empty texts have all of them."""
+    text = text or ""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype="uint8")
+    count = np.bincount(raw, minlength=256)
+    words = text.split()
+    chars, n = len(text), len(words)
+    each, some = max(chars, 1), max(n, 1)
+    # Capitals: A-Z, and those of Latin-1, which are 0xC3 and one of 0x80 to 0x9E.
+    latin = np.count_nonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)) if count[0xC3] else 0
+    return [
+        np.log1p(n),
+        np.log1p(chars),
         chars / some,
-        share(r"[\p{L}\p{N}\s.,;:'!?-]+"),
-        share(r"[^0-9]+"),
-        share(r"[^\p{Lu}]+"),
-        share(r"[^.!?]+") * chars / some,
-        again / some,
-        F.size(F.array_distinct(words)) / some,
-        F.log1p(F.size(F.split(text, "\n")).cast("double")),
-        share(r"[^|]+") * chars / some,
-        share(r"[\x00-\x7F]+"),
-    )
+        count[list(_SYMBOLS)].sum() / each,
+        count[0x30:0x3A].sum() / each,
+        (count[0x41:0x5B].sum() + latin) / each,
+        count[list(_STOPS)].sum() / some,
+        sum(map(eq, words, words[1:])) / some,
+        len(set(words)) / some,
+        np.log1p(count[10]),
+        count[0x7C] / some,
+        count[0x80:].sum() / max(len(raw), 1),
+    ]
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "x"]
+        )
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,30 +87,21 @@ class Ranking:
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.design(x) @ self.weights
 
-    def column(self, x: Column) -> Column:
-        """The score of a feature array as a built-in expression."""
-        n, b = self.cuts.shape
-        steps = np.hstack([np.zeros((n, 1)), np.cumsum(self.weights[n:].reshape(n, b), axis=1)])
-
-        def numbers(a: np.ndarray) -> Column:
-            return F.array(*[F.lit(float(v)) if np.ndim(v) == 0 else numbers(v) for v in a])
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Between 0 and 1; 0.5 at the threshold."""
+        return 1.0 / (1.0 + np.exp(np.clip((self.threshold - self.raw(x)) * self.scale, -500, 500)))
 
-        def part(v: Column, i: Column) -> Column:
-            line = (v - F.get(numbers(self.centre), i)) / F.get(numbers(self.spread), i)
-            passed = F.size(F.filter(F.get(numbers(self.cuts), i), lambda cut: v > cut))
-            return F.least(F.lit(8.0), F.greatest(F.lit(-8.0), line)) * F.get(numbers(self.weights[:n]), i) + F.get(
-                F.get(numbers(steps), i), passed
-            )
-
-        # x stands here once, so that it is computed once wherever the optimizer moves this expression.
-        total = F.aggregate(F.transform(x, part), F.lit(-float(self.threshold)), lambda s, v: s + v)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(total * -float(self.scale)))
+    def of_texts(self, texts: pa.Array) -> np.ndarray:
+        x = np.array([features(t.as_py()) for t in texts], dtype="float64").reshape(-1, len(FEATURES))
+        return self.scores(x)
 
 
 def fit_ranking(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Ranking:
     """Bradley-Terry: P(a is preferred to b) = logistic(s(a) - s(b)), with a linear score s, fitted by logistic
     loss on the differences of pairs of a document of label 1 and one of label 0."""
     rng = np.random.default_rng(seed)
+    if not len(x):
+        x, y = np.zeros((1, len(FEATURES))), np.array([1])
     cuts = np.quantile(x, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
     model = Ranking(cuts, x.mean(axis=0), x.std(axis=0) + 1e-9, np.zeros(0), 0.0, 1.0)
     d = model.design(x)
@@ -141,17 +142,36 @@ def learn(
         .filter(F.col("_y") == F.col("_z"))
         .orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     )
-    rows = (
+    chosen = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
         .join(F.broadcast(known), "_id")  # at most max_labelled rows
-        .select("_id", "_y", features(F.col("_t")).alias("_x"))
-        .orderBy("_id", "_x").limit(max_labelled)
-        .toPandas()
+        .select("_y", "_id", "_t")
     )
-    x = np.array(rows["_x"].tolist(), dtype="float64").reshape(-1, len(FEATURES))
+    kind = chosen.schema["_id"].dataType.simpleString()
+    rows = chosen.mapInArrow(_measured, f"_y int, _id {kind}, x array<double>").orderBy("_id", "x")
+    rows = rows.limit(max_labelled).toPandas()
+    x = np.array(rows["x"].tolist(), dtype="float64").reshape(-1, len(FEATURES))
     return fit_ranking(x, rows["_y"].to_numpy())
 
 
+def _scorer(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.value.of_texts(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+
+    return run
+
+
+def _acceptor(model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.value.of_texts(batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array(scores >= 0.5))
+
+    return run
+
+
 def score_documents(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -160,11 +180,15 @@ def score_documents(docs: DataFrame, model: Ranking, id_col: str = "doc_id", tex
     repeated rows; a null doc_id isn't held out. An empty table gives an empty result; with no labels of one of
     the classes every score is on the side of the other. Other columns are neither read nor returned.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), features(F.col(text_col)).alias("_x"))
-    rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column(F.col("_x")).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    run = _scorer(docs.sparkSession.sparkContext.broadcast(model))
+    return rows.mapInArrow(run, f"doc_id {kind}, score double").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def accepted_documents(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
     """docs without those that the model rejects, with all their columns."""
-    return docs.filter(model.column(features(F.col(text_col))) >= 0.5)
+    run = _acceptor(docs.sparkSession.sparkContext.broadcast(model), text_col)
+    return docs.mapInArrow(run, docs.schema)
