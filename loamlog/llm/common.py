@@ -1,13 +1,14 @@
-"""What the corpus operators share: written tables, global running sums, words."""
+"""What the corpus operators share: words, column names, joins by row."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.ordered import global_prefix
+from ..sources.files import scratch_path, write_table
+
+__all__ = ["free_name", "global_prefix", "join_rows", "scratch_path", "word_bytes", "write_table"]
 
 #: Runs of characters between words: ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -23,29 +24,6 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-llm-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later steps neither recompute it nor depend on
-    the executors that made it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
@@ -62,34 +40,3 @@ def join_rows(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
     """rows joined to wanted by a long key; wanted is broadcast if it has few rows, counted before."""
     few = wanted.count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(wanted) if few else wanted, on)
-
-
-def global_prefix(
-    df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], name: str = "prefix"
-) -> DataFrame:
-    """df with one more column for each of sums: its total over all rows before this one in the order, within
-    the group.
-
-    The rows are dealt by range and written; each partition's totals are added up, which are as many rows as
-    partitions (and one more for each group), and joined back to start each partition's own running sum. No
-    task gets more than a partition, however many rows a group holds.
-    """
-    dealt = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id())
-    dealt = write_table(dealt, name)
-    totals = dealt.groupBy("_part", *group).agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
-    before = (
-        Window.partitionBy(*group) if group else Window.partitionBy()
-    ).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col("_part").alias("_p"),
-        *[F.col(g).alias(f"_g_{g}") for g in group],
-        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in sums],
-    )
-    same = F.col("_part") == F.col("_p")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    own = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(starts, same, "left").select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"_s_{k}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(k) for k, c in sums.items()],
-    )
