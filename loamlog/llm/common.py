@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import global_prefix
 from ..sources.files import scratch_path, write_table
 
-__all__ = ["free_name", "global_prefix", "join_rows", "scratch_path", "word_bytes", "write_table"]
+__all__ = [
+    "cut_spans", "free_name", "global_prefix", "join_rows", "scratch_path", "without_words", "word_bytes", "write_table",
+]
 
 #: Runs of characters between words: ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -24,6 +30,38 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without some of its words, spans [start, end) of them: from the first's first byte to the last's last."""
+    raw = text.encode("utf-8", "surrogatepass")
+    inside = np.frombuffer(raw.translate(WORD_BYTES), dtype="uint8") != 0x20
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype("int8")))
+    starts, stops = edges[::2], edges[1::2]
+    out, at = [], 0
+    for s, e in sorted(spans):
+        begin, end = max(int(starts[s]), at), int(stops[e - 1])
+        if end > begin:
+            out.append(raw[at:begin])
+            at = end
+    return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
+
+
+def cut_spans(text_col: str, spans_col: str):
+    """For mapInArrow: texts without the spans that a column lists as pairs; that column goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, by = batch.schema.get_field_index(text_col), batch.schema.get_field_index(spans_col)
+            texts = [
+                without_words(t.as_py(), [tuple(x.values()) for x in s.as_py()]) if s.is_valid and len(s) else t.as_py()
+                for t, s in zip(batch.column(at), batch.column(by), strict=True)
+            ]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            keep = [i for i in range(batch.num_columns) if i != by]
+            yield batch.select(keep)
+
+    return run
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, word_bytes, write_table
+from .common import cut_spans, free_name, without_words, word_bytes, write_table
 
 #: Words of a window; items of fewer are one window.
 WINDOW = 13
@@ -282,17 +282,25 @@ def block_count_is_one(benchmark: DataFrame, item_text: str, block_words: int) -
     return bound <= block_words
 
 
-def _cleaner(automaton, window: int, coverage: int, text_col: str):
-    """Whole batches without contaminated rows."""
+def _cleaner(automaton, window: int, coverage: int, span_limit: int | None, text_col: str):
+    """Whole batches without contaminated rows, and the others' texts without long spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton.value
         for batch in batches:
-            keep = []
-            for text in batch.column(batch.schema.get_field_index(text_col)):
-                words = word_bytes(text.as_py())
-                n = sum(e - s for s, e in a.match(words, window)[0]) if words else 0
+            at = batch.schema.get_field_index(text_col)
+            keep, texts = [], []
+            for value in batch.column(at):
+                text = value.as_py()
+                words = word_bytes(text)
+                spans = a.match(words, window)[0] if words else []
+                n = sum(e - s for s, e in spans)
                 keep.append(not n or n * coverage < len(words))
+                if span_limit is not None:
+                    long = [(s, e) for s, e in spans if e - s > span_limit]
+                    texts.append(without_words(text, long) if long and keep[-1] else text)
+            if span_limit is not None:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -300,18 +308,27 @@ def _cleaner(automaton, window: int, coverage: int, text_col: str):
 
 def clean_documents(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, text_col: str = "text",
-    item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS,
+    item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS, span_limit: int | None = None,
 ) -> DataFrame:
-    """docs without those that are contaminated, with all their columns."""
+    """docs without those that are contaminated, with all their columns.
+
+    span_limit: hit stretches of more words are cut out of the texts that stay; without it these are left as they
+    are.
+    """
     if block_count_is_one(benchmark, item_text, block_words):
         ids, words = next(_blocks(benchmark, item_id, item_text, block_words))
         a = Automaton.of(words, window)
         a.shortest = min([window, *(len(w) for w in words if len(w) > 1)])
-        run = _cleaner(docs.sparkSession.sparkContext.broadcast(a), window, coverage, text_col)
+        run = _cleaner(docs.sparkSession.sparkContext.broadcast(a), window, coverage, span_limit, text_col)
         return docs.mapInArrow(run, docs.schema)
     row = free_name(docs, "_row")
     marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "to-clean")
-    bad = decontaminate(
-        marked, benchmark, window, coverage, row, text_col, item_id, item_text, block_words
-    ).filter("contaminated")
-    return marked.join(bad.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
+    found = decontaminate(marked, benchmark, window, coverage, row, text_col, item_id, item_text, block_words)
+    found = write_table(found.filter("n_hit > 0").withColumnRenamed("doc_id", row), "hits")
+    kept = marked.join(found.filter("contaminated").select(row), row, "left_anti")
+    if span_limit is None:
+        return kept.select(*docs.columns)
+    spans = free_name(docs, "_spans")
+    long = F.filter(F.arrays_zip("starts", "ends"), lambda x: x["ends"] - x["starts"] > span_limit)
+    cut = kept.join(found.select(row, long.alias(spans)), row, "left").drop(row)
+    return cut.mapInArrow(cut_spans(text_col, spans), docs.schema)
