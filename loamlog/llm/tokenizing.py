@@ -10,9 +10,12 @@ import numpy as np
 
 #: Pieces whose ids a worker remembers, at most, in each of two generations.
 REMEMBERED = 300_000
-#: What keeps a text from being cut at each full stop, comma, line feed and space: white space side by side, a mark
-#: beside another, and a space before a mark are, or may be, one piece.
-_KNOTS = re.compile(r"\s\s|[.,][^\s\w]|[^\s\w][.,]|[.,]_|_[.,]|\s[.,]|\0")
+#: What keeps a text from being cut at each full stop, comma, line feed and space: white space side by side, and a
+#: mark beside another or after a space, are or may be one piece. White space other than spaces and line feeds is rare
+#: enough to be left to the pre-tokenizer.
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARKS = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\s\w]|_))")
 #: A single space between two characters that aren't white space: a new piece always starts there.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -54,7 +57,7 @@ class Encoder:
     """Token ids of whole texts by a file of the tokenizers library, for byte-level BPE.
 
     The pre-tokenizer cuts a text into pieces that are encoded each by itself. Where a text has none of the rare
-    sequences in _KNOTS, its cuts around spaces, marks and line feeds are known without it; other texts are cut
+    sequences above, its cuts around spaces, marks and line feeds are known without it; other texts are cut
     at lone spaces only. Pieces seen before are remembered. So the ids are those of encoding the text as a whole.
     """
 
@@ -67,11 +70,11 @@ class Encoder:
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<i4")
-        if _KNOTS.search(text) or text[-1] == " ":
+        if text[-1] == " " or any(p in text for p in _PAIRS) or _ODD.search(text) or _MARKS.search(text):
             head, *rest = _BREAK.split(text)
             pieces = [head, *[" " + x for x in rest]]
         else:
-            cut = text.replace(" ", "\0 ").replace(".", "\0.\0").replace(",", "\0,\0").replace("\n", "\0\n\0")
+            cut = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
             pieces = cut.split("\0")
         return np.frombuffer(b"".join(map(self.seen.__getitem__, pieces)), dtype="<i4")
 
