@@ -129,6 +129,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
+_OP5 = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+           CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, n)) AS t),
+h AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+l AS (
+  SELECT doc_id, size, list_transform(range(1, len(h), 2),
+           lambda i: CAST('0x' || substring(h, i, 2) AS BIGINT)) AS l FROM h),
+c AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(4294967295, CASE WHEN len(l) = 0 THEN 4294967295 ELSE
+           list_reduce(l, lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256), CAST(4294967295 AS BIGINT)) END) AS BIGINT)
+           AS crc
+  FROM l, tab),
+o AS (
+  SELECT *, row_number() OVER w AS r, sum(size) OVER w - size AS before, sum(size) OVER () AS total
+  FROM c WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CAST(least(15, ((before * 2 + size) * 16) // (2 * total)) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
 _OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
@@ -193,6 +215,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": _OP1,
         "op3_decontaminate": _OP3,
+        "op5_shard_bytes": _OP5,
         "op6_mix_sources": _OP6,
         "op10_licence_scan": _op10(),
     }
