@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import global_prefix
 from ..sources.files import scratch_path, write_table
 
 __all__ = [
-    "cut_spans", "free_name", "global_prefix", "join_rows", "scratch_path", "without_words", "word_bytes", "write_table",
+    "cut_spans", "free_name", "global_prefix", "join_rows", "scratch_path", "small_batches", "without_words", "word_bytes",
+    "write_table",
 ]
 
 #: Runs of characters between words: ASCII white space.
@@ -30,6 +31,17 @@ def word_bytes(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+#: Rows that tasks pass to Python at a time, at most: texts can be long, and a worker holds a batch twice.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     """A text without some of its words, spans [start, end) of them: from the first's first byte to the last's last."""
     raw = text.encode("utf-8", "surrogatepass")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_spans, free_name, without_words, word_bytes, write_table
+from .common import cut_spans, free_name, small_batches, without_words, word_bytes, write_table
 
 #: Words of a window; items of fewer are one window.
 WINDOW = 13
@@ -212,6 +212,7 @@ def match_benchmark(
     Each block of items is one automaton, broadcast (its size follows block_words, not the data) and passed
     over all documents; what several blocks find in a document is put together by a shuffle of hits alone.
     """
+    small_batches(rows.sparkSession)
     spark, kind = rows.sparkSession, rows.schema["row"].dataType.simpleString()
     returned = f"row {kind}, n_words long, starts array<int>, ends array<int>, items array<string>"
     parts = []
@@ -315,6 +316,7 @@ def clean_documents(
     span_limit: hit stretches of more words are cut out of the texts that stay; without it these are left as they
     are.
     """
+    small_batches(docs.sparkSession)
     if block_count_is_one(benchmark, item_text, block_words):
         ids, words = next(_blocks(benchmark, item_id, item_text, block_words))
         a = Automaton.of(words, window)

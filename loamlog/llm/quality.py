@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled documents that the model is fitted on, at most: a sample by hash of the id.
 MAX_LABELLED = 20_000
 #: Preference pairs drawn from them.
@@ -135,6 +137,7 @@ def learn(
     Of those, at most max_labelled are used, by the hash of their ids; only their measures (a dozen numbers a
     document) come to the driver. Labels other than 0 and 1, null ids and ids with both labels are left out.
     """
+    small_batches(docs.sparkSession)
     known = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
         .filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
@@ -180,6 +183,7 @@ def score_documents(docs: DataFrame, model: Ranking, id_col: str = "doc_id", tex
     repeated rows; a null doc_id isn't held out. An empty table gives an empty result; with no labels of one of
     the classes every score is on the side of the other. Other columns are neither read nor returned.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     run = _scorer(docs.sparkSession.sparkContext.broadcast(model))
@@ -190,5 +194,6 @@ def score_documents(docs: DataFrame, model: Ranking, id_col: str = "doc_id", tex
 
 def accepted_documents(docs: DataFrame, model: Ranking, text_col: str = "text") -> DataFrame:
     """docs without those that the model rejects, with all their columns."""
+    small_batches(docs.sparkSession)
     run = _acceptor(docs.sparkSession.sparkContext.broadcast(model), text_col)
     return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .token_files import default_tokenizer
 from .tokenizing import encoder, token_bytes
 
@@ -77,6 +78,7 @@ def _counter(path: str, rule: str):
 def _counted(rows: DataFrame, tokenizer: str | None, rule: str) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
         _counter(tokenizer or default_tokenizer(), rule),

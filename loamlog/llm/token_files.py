@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, write_table
+from .common import scratch_path, small_batches, write_table
 from .tokenizing import encoder
 
 END_ID = 2
@@ -64,6 +64,7 @@ def write_token_files(
     one list. Ties and repeated rows stay, in an order fixed by a hash of the text. An empty table gives files
     without rows. Other columns are neither read nor written.
     """
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
