@@ -22,10 +22,12 @@ SIMILARITY = 0.8
 SKETCHES, LEAST, LEAST_SHORT = 16, 3, 2
 #: Texts of up to so many shingles have sketches for short ones, of at least so many the others; between, both.
 SHORT, LONG = 20, 16
-#: Rounds with one representative per bucket; what they leave is compared with its neighbours.
+#: Rounds with one representative per bucket; what they leave unconnected is compared by rare shingles.
 ROUNDS = 5
-#: Sketches by which neighbours are sorted, and how many before it in that order a text is compared with.
-DEPTH, BEFORE = 8, 2
+#: Texts of a bucket that are compared pair by pair after the rounds; larger ones go by rare shingles.
+FEW = 6
+#: Texts with a shingle in one task's part of a join.
+SALT_ROWS = 1000
 
 _U = np.uint64
 _ODD = np.random.default_rng(20).integers(1, 1 << 63, size=SKETCHES, dtype=np.uint64) * _U(2) + _U(1)
@@ -128,79 +130,103 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return write_table(both.mapInArrow(_verify(similarity), "rep long, row long, similarity double"), "links")
 
 
-def _adjacent(similarity: float):
-    """From rows sorted by `vector`: each with those just before it that begin alike, if their sizes allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = n = first = np.zeros(0, dtype="int64")
-        for batch in batches:
-            held = [np.concatenate((old[-BEFORE:], batch.column(i).to_numpy())) for i, old in ((0, row), (1, n))]
-            heads = batch.column(2).flatten().to_numpy().reshape(-1, DEPTH)[:, 0]
-            fresh = len(row[-BEFORE:])
-            row, n, first = *held, np.concatenate((first[-BEFORE:], heads))
-            out = []
-            for back in range(1, BEFORE + 1):
-                a, b = slice(0, -back), slice(back, None)
-                small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                good = (first[a] == first[b]) & (small >= similarity * large) & (np.arange(back, len(n)) >= fresh)
-                out.append(np.stack([np.minimum(row[a], row[b])[good], np.maximum(row[a], row[b])[good]]))
-            rep, other = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(other)], names=["rep", "row"])
-
-    return run
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [labelled(kmers(word_hashes(word_bytes(x.as_py())), WORDS)).astype("int64") for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "labels"])
 
 
-def _neighbours(rows: DataFrame, similarity: float) -> DataFrame:
-    """rep, row: texts that stand side by side when sorted by their sketches, once for each sketch to begin with.
+def _sharing(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """rep, row: all pairs of rows (row, component) of two components that can be similar, by rare shingles.
 
-    The more alike two texts are, the longer their sorted keys begin alike, so of a large group each meets those
-    most like it. Rows are dealt by range, and as many come out as go in, however large a bucket is.
+    Of sizes a <= b, two similar texts share at least o = similarity (a + b) / (1 + similarity) shingles. So if each
+    text's are put in one order of all, the rarest first, the first that both have is among the first a - o + 1 of
+    one and the first b - o + 1 of the other; a shingle of one text alone takes a place but is never joined. Texts
+    made from one template so meet by what is their own. A frequent shingle is dealt over many tasks.
     """
-    ring = F.slice(F.col("keys"), F.size("keys") - SKETCHES + 1, SKETCHES)
-    turned = rows.select("row", "n", F.concat(ring, ring).alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(SKETCHES))).alias("_i"))
-    sorted_ = (
-        turned.select("row", "n", F.slice("_k", F.col("_i"), DEPTH).alias("vector"))
-        .repartitionByRange("vector", "row").sortWithinPartitions("vector", "row")
+    texts = join_rows(texts, rows.select("row"), "row").select("row", "text")
+    each = write_table(texts.mapInArrow(_labels, "row long, labels array<long>"), "near-labels").select(
+        "row", F.size("labels").alias("n"), F.explode("labels").alias("label")
     )
-    return sorted_.mapInArrow(_adjacent(similarity), "rep long, row long").distinct()
+    often = each.groupBy("label").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    held = each.join(often, "label").groupBy("row", "n").agg(F.sort_array(F.collect_list(F.struct("often", "label"))).alias("_s"))
+    # Places from 0, after the shingles that are the text's alone; the most that a text of any size may need.
+    first = held.select("row", "n", (F.col("n") - F.size("_s")).alias("alone"), F.posexplode("_s").alias("at", "_e"))
+    first = first.select("row", "n", (F.col("alone") + F.col("at")).alias("at"), "_e.often", "_e.label")
+    first = first.filter(F.col("at") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6))
+    first = write_table(first.join(rows, "row"), "near-rare")
+    # Each pair of components has one that isn't the label's largest: a large one isn't joined with itself.
+    by = first.groupBy("label", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("label").agg(
+        F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("several")
+    )
+    kept = first.join(by.filter("several > 1"), "label").withColumns(
+        {"other": F.col("component") != F.col("main"), "salts": F.ceil(F.col("often") / SALT_ROWS).cast("int")}
+    )
+    kept = write_table(kept.select("label", "row", "n", "at", "component", "other", "salts"), "near-rare")
+    least = lambda a, b: F.ceil(similarity * (a + b) / (1 + similarity) - 1e-6)
+    short = kept.filter(F.col("at") <= F.col("n") - least(F.col("n"), F.col("n")))
+    short = short.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).select(
+        "label", "salt", "other", *[F.col(c).alias(f"_{c}") for c in ("row", "n", "at", "component")]
+    )
+    dealt = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumnRenamed("other", "_other")
+    o = least(F.col("n"), F.col("_n"))
+    good = (
+        (F.col("component") != F.col("_component")) & (F.col("_n") <= F.col("n")) & (F.col("_n") >= similarity * F.col("n"))
+        & (F.col("at") <= F.col("n") - o) & (F.col("_at") <= F.col("_n") - o)
+    )
+    some = [
+        short.filter(mine).join(dealt.filter(theirs), ["label", "salt"]).filter(good)
+        .select(F.least("row", "_row").alias("rep"), F.greatest("row", "_row").alias("row"))
+        for mine, theirs in (("other", "true"), ("not other", "_other"))
+    ]
+    return some[0].unionByName(some[1]).distinct()
+
+
+def _unconnected(members: DataFrame, links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """rep, row: pairs still to compare, of all buckets whose texts aren't in one component yet."""
+    found = components(links, "rep", "row").withColumnRenamed("vertex", "row")
+    placed = members.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    placed = write_table(placed.select("key", "row", "n", "size", "component"), "near-placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
+    mixed = write_table(placed.join(mixed.select("key"), "key"), "near-mixed")
+    few = mixed.filter(F.col("size") <= FEW)
+    other = few.select("key", *[F.col(c).alias(f"_{c}") for c in ("row", "n", "component")])
+    fits = F.least("n", "_n") >= F.greatest("n", "_n") * similarity
+    pairs = few.join(other, "key").filter((F.col("row") < F.col("_row")) & (F.col("component") != F.col("_component")) & fits)
+    pairs = pairs.select(F.col("row").alias("rep"), F.col("_row").alias("row"))
+    rows = write_table(mixed.filter(F.col("size") > FEW).select("row", "component").distinct(), "near-unconnected")
+    return pairs.unionByName(_sharing(rows, texts, similarity)).distinct()
 
 
 def similar_texts(texts: DataFrame, sketches: DataFrame, similarity: float, rounds: int) -> DataFrame:
-    """rep, row: pairs of different texts of at least that similarity, enough to connect what is alike.
+    """rep, row: pairs of different texts of at least that similarity, enough to connect all that are alike.
 
     Texts of a bucket share a sketch. In a round, each bucket's representative is the text that shares most with
     others, so that a text many were made from comes first; all others are compared with it, and comparisons grow
-    as the bucket does. Texts that are alike to it are done there; among the others the next round chooses. Texts
-    that the rounds leave in any bucket are compared with their neighbours in the order of their sketches.
+    as the bucket does. Texts that are alike to it are done there; among the others the next round chooses. After
+    the rounds, every pair of a bucket that isn't connected yet and can be similar is compared: see _sharing.
     """
     keyed = sketches.select("row", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = write_table(keyed.join(shared, "key"), "buckets")
     weights = members.groupBy("row").agg(F.sum("size").alias("weight"))
-    members = write_table(members.join(weights, "row").select("key", "row", "n", "weight"), "buckets")
-    open_, tried, links = members, None, None
-    for k in range(rounds + 1):
-        if k < rounds:
-            best = F.max(F.struct("weight", (-F.col("row")).alias("_r"), "n"))
-            reps = open_.groupBy("key").agg(best.alias("_b")).select(
-                "key", (-F.col("_b._r")).alias("rep"), F.col("_b.n").alias("rep_n")
-            )
-            reps = write_table(reps, "representatives")
-            fits = F.least("n", "rep_n") >= F.greatest("n", "rep_n") * similarity
-            pairs = members.join(reps, "key").filter((F.col("row") != F.col("rep")) & fits).select(
-                F.least("rep", "row").alias("rep"), F.greatest("rep", "row").alias("row")
-            ).distinct()
-        else:
-            pairs = _neighbours(join_rows(sketches, open_.select("row").distinct(), "row"), similarity)
-        if tried is not None:
-            pairs = pairs.join(tried, ["rep", "row"], "left_anti")
+    members = write_table(members.join(weights, "row").select("key", "row", "n", "size", "weight"), "buckets")
+    nothing = members.select(F.col("row").alias("rep"), "row").limit(0)
+    open_, tried, links = members, nothing, nothing
+    for _ in range(rounds):
+        best = F.max(F.struct("weight", (-F.col("row")).alias("_r"), "n"))
+        reps = open_.groupBy("key").agg(best.alias("_b")).select(
+            "key", (-F.col("_b._r")).alias("rep"), F.col("_b.n").alias("rep_n")
+        )
+        reps = write_table(reps, "representatives")
+        fits = F.least("n", "rep_n") >= F.greatest("n", "rep_n") * similarity
+        pairs = members.join(reps, "key").filter((F.col("row") != F.col("rep")) & fits).select(
+            F.least("rep", "row").alias("rep"), F.greatest("rep", "row").alias("row")
+        ).distinct()
+        pairs = pairs.join(tried, ["rep", "row"], "left_anti")
         compared = _links(write_table(pairs, "pairs"), texts, similarity)
         good = compared.filter(F.col("similarity") >= similarity).select("rep", "row")
-        links = good if links is None else links.unionByName(good)
-        done = compared.select("rep", "row")
-        tried = done if tried is None else tried.unionByName(done)
-        if k == rounds:
-            break
+        links, tried = links.unionByName(good), tried.unionByName(compared.select("rep", "row"))
         left = open_.join(reps.select("key", F.col("rep").alias("_rep")), "key").filter(F.col("row") != F.col("_rep"))
         left = left.withColumns({"rep": F.least("row", "_rep"), "other": F.greatest("row", "_rep")})
         linked = good.withColumnRenamed("row", "other")
@@ -208,7 +234,9 @@ def similar_texts(texts: DataFrame, sketches: DataFrame, similarity: float, roun
         open_ = write_table(open_, "open")
         if not open_.limit(1).count():
             break
-    return links
+    pairs = _unconnected(members, links, texts, similarity).join(tried, ["rep", "row"], "left_anti")
+    compared = _links(write_table(pairs, "pairs"), texts, similarity)
+    return links.unionByName(compared.filter(F.col("similarity") >= similarity).select("rep", "row"))
 
 
 def near_duplicates(

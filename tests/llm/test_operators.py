@@ -429,6 +429,36 @@ def test_near_duplicates(make, rounds):
     assert all(r["kept"] == (i == r["class_id"]) for i, r in got.items())
 
 
+def templated(n, planted):
+    """Texts of one template, of similarity 88 / 112 to each other; `planted` pairs of them have 90 / 110."""
+    rng = random.Random(7)
+    template, texts = words(rng, 92, 10**9), []
+    for i in range(n):
+        own = words(rng, 12, 10**9)
+        texts.append(" ".join([*own, *template]))
+        if i < planted:
+            texts.append(" ".join([*words(rng, 10, 10**9), *own[-2:], *template]))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("rounds", [0, 5])
+def test_links_inside_a_template(make, rounds):
+    texts = templated(2000, 100)
+    want = defaultdict(list)
+    for i, t in enumerate(texts):
+        want[t.split()[10]].append(i)
+    assert sum(len(v) == 2 for v in want.values()) == 100
+    assert plain_similarity(*[texts[i] for i in next(v for v in want.values() if len(v) == 2)]) == 90 / 110
+    got = near_dedup.near_duplicates(make(texts), rounds=rounds).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: min(v) for v in want.values() for i in v}
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_near_duplicates_of_any_rounds(make, rounds):
+    test_near_duplicates(make, rounds)
+
+
 def test_alignment_is_exact():
     rng = random.Random(4)
     for _ in range(200):
