@@ -79,9 +79,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the same doc_id and text exactly one is kept. An empty table gives an empty result. Other columns of the
     input are neither read nor returned, whatever their names.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest")
-    ).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _groups_of_rows(rows.withColumn("row", F.monotonically_increasing_id()), counters).drop("row")
+
+
+def _groups_of_rows(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The same for a table of row, doc_id and text; with row."""
+    rows = rows.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), "row")
     digests = write_table(rows, "digests")
     heavy = write_table(heavy_digests(digests, counters), "heavy-digests")
     often = digests.join(F.broadcast(heavy), "digest")
@@ -93,11 +97,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "row",
     )
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops, with all their columns. Ids must tell rows apart."""
-    key = free_name(docs, "_dropped")
-    dropped = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
+    """docs without the rows that exact_dedup drops, with all their columns."""
+    row = free_name(docs, "_row")
+    marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "exact-documents")
+    rows = marked.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    dropped = _groups_of_rows(rows).filter("not kept").select(F.col("row").alias(row))
+    return marked.join(dropped, row, "left_anti").select(*docs.columns)

@@ -45,6 +45,13 @@ def test_exact_dedup(odd, empty):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {1, 3, 6}
 
 
+def test_exact_kept_documents_of_repeated_rows(odd):
+    kept = exact_dedup.kept_documents(odd)
+    assert kept.columns == odd.columns
+    texts = Counter(spaced(r["text"]) for r in kept.collect())
+    assert texts == Counter({spaced(t) for _, t, *_ in odd_rows()})
+
+
 def test_misra_gries_finds_what_is_frequent(spark):
     rng = random.Random(1)
     values = ["hot"] * 400 + ["warm"] * 150 + [f"cold{i}" for i in range(600)]
