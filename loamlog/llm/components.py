@@ -15,17 +15,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     shortens long chains; labels are written after each round, and rounds end when none has changed. Labels are
     combined before they are shuffled, so a vertex with very many edges isn't gathered anywhere.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = write_table(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    pairs = write_table(edges.select(F.col(a).alias("u"), F.col(b).alias("v")), "edges")
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
     labels = write_table(labels, "labels")
     while True:
-        sent = both.join(labels, "u").select(F.col("v").alias("u"), "label")
-        least = labels.unionByName(sent).groupBy("u").agg(F.min("label").alias("label"))
+        sent = both.join(labels.select("u", "label"), "u").select(F.col("v").alias("u"), "label", F.lit(None).alias("was"))
+        own = labels.select("u", "label", F.col("label").alias("was"))
+        least = own.unionByName(sent).groupBy("u").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = labels.select(F.col("u").alias("label"), F.col("label").alias("_up"))
-        jumped = least.join(up, "label").select("u", F.least("label", "_up").alias("label"))
-        new = write_table(jumped, "labels")
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "u").filter("label <> _old").limit(1).count()
-        labels = new
-        if not changed:
+        jumped = least.join(up, "label").select("u", F.least("label", "_up").alias("label"), "was")
+        labels = write_table(jumped, "labels")
+        if not labels.filter("label <> was").limit(1).count():
             return labels.select(F.col("u").alias("vertex"), F.col("label").alias("component"))

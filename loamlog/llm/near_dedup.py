@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import free_name, join_rows, small_batches, word_bytes, write_table
 from .components import components
@@ -22,11 +23,13 @@ SIMILARITY = 0.8
 SKETCHES, LEAST, LEAST_SHORT = 16, 3, 2
 #: Texts of up to so many shingles have sketches for short ones, of at least so many the others; between, both.
 SHORT, LONG = 20, 16
-#: Rounds with one representative per bucket; what they leave unconnected is compared by rare shingles.
-ROUNDS = 5
-#: Texts of a bucket that are compared pair by pair after the rounds; larger ones go by rare shingles.
+#: Rounds that compare some texts of each larger bucket; what they leave unconnected is compared by rare shingles.
+ROUNDS = 2
+#: Texts of a bucket that are all compared with each other; larger buckets go by rounds.
 FEW = 6
-#: Texts with a shingle in one task's part of a join.
+#: Neighbours that a text is compared with, in a chance order of each of its buckets, from the second round on.
+BEFORE = 2
+#: Texts of a bucket, or with a shingle, or compared with one text, in one task's part of a join.
 SALT_ROWS = 1000
 
 _U = np.uint64
@@ -104,30 +107,47 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def _verify(similarity: float):
+    """From rows (rep, row, text) sorted by rep, its own text (row null) first: similarity of rep and row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, labels = None, np.zeros(0, dtype=_U)
+        labels = np.zeros(0, dtype=_U)
         for batch in batches:
-            out = []
-            for rep, left, right in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if rep != last:
-                    last, labels = rep, labelled(kmers(word_hashes(word_bytes(left.as_py())), WORDS))
-                own = labelled(kmers(word_hashes(word_bytes(right.as_py())), WORDS))
+            reps, rows, out = [], [], []
+            for rep, row, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                own = labelled(kmers(word_hashes(word_bytes(text.as_py())), WORDS))
+                if not row.is_valid:
+                    labels = own
+                    continue
+                reps.append(rep.as_py())
+                rows.append(row.as_py())
                 out.append(aligned(labels, own, similarity))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["rep", "row", "similarity"]
+                [pa.array(reps, pa.int64()), pa.array(rows, pa.int64()), pa.array(out, pa.float64())],
+                names=["rep", "row", "similarity"],
             )
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs (rep, row) with their similarity, compared by their whole texts."""
+    """rep, row of those pairs whose whole texts are similar.
+
+    A text that many are compared with goes once to each task that has some of them, SALT_ROWS at a time."""
+    pairs = write_table(pairs, "pairs")
     ends = pairs.select(F.col("rep").alias("row")).union(pairs.select("row")).distinct()
-    held = write_table(join_rows(texts, ends, "row"), "near-texts")
-    left = held.select(F.col("row").alias("rep"), F.col("text").alias("_left"))
-    right = held.select("row", F.col("text").alias("_right"))
-    both = pairs.join(right, "row").join(left, "rep").select("rep", "row", "_left", "_right")
-    return write_table(both.mapInArrow(_verify(similarity), "rep long, row long, similarity double"), "links")
+    held = write_table(join_rows(texts, write_table(ends, "pair-ends"), "row"), "near-texts")
+    salts = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    salts = write_table(salts, "pair-salts")
+    own = held.withColumnRenamed("row", "rep").join(salts, "rep").select(
+        "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("row"), "text"
+    )
+    salted = pairs.join(salts, "rep").select(
+        "rep", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int").alias("salt"), "row"
+    )
+    both = own.unionByName(salted.join(held, "row").select("rep", "salt", "row", "text"))
+    both = both.repartition("rep", "salt").sortWithinPartitions("rep", "salt", F.col("row").asc_nulls_first())
+    made = both.select("rep", "row", "text").mapInArrow(_verify(similarity), "rep long, row long, similarity double")
+    return write_table(made.filter(F.col("similarity") >= similarity).select("rep", "row"), "links")
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,74 +202,117 @@ def _sharing(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return some[0].unionByName(some[1]).distinct()
 
 
-def _unconnected(members: DataFrame, links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """rep, row: pairs still to compare, of all buckets whose texts aren't in one component yet."""
-    found = components(links, "rep", "row").withColumnRenamed("vertex", "row")
-    placed = members.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    placed = write_table(placed.select("key", "row", "n", "size", "component"), "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a < _b")
-    mixed = write_table(placed.join(mixed.select("key"), "key"), "near-mixed")
-    few = mixed.filter(F.col("size") <= FEW)
-    other = few.select("key", *[F.col(c).alias(f"_{c}") for c in ("row", "n", "component")])
+def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (row, component) after links (rep, row): what they connect becomes one component."""
+    if not links.limit(1).count():
+        return placed
+    ends = placed.select(F.col("row").alias("_end"), "component")
+    left = links.join(ends, F.col("rep") == F.col("_end")).select("row", F.col("component").alias("a"))
+    both = left.join(ends, F.col("row") == F.col("_end")).select("a", F.col("component").alias("b"))
+    found = components(both.filter("a <> b").distinct(), "a", "b").withColumnRenamed("component", "_new")
+    new = placed.join(found, F.col("component") == F.col("vertex"), "left")
+    return write_table(new.select("row", F.coalesce("_new", "component").alias("component")), "near-placed")
+
+
+def _pairs(left: str, right: str, weights: tuple[str, str]):
+    """rep, row of two texts: the one that shares more with others, of equals the first, is rep."""
+    a, b = (F.struct(F.col(w), -F.col(c)) for w, c in zip(weights, (left, right)))
+    return [F.when(a > b, F.col(left)).otherwise(F.col(right)).alias("rep"),
+            F.when(a > b, F.col(right)).otherwise(F.col(left)).alias("row")]
+
+
+def _small(members: DataFrame, similarity: float) -> DataFrame:
+    """rep, row: all pairs of buckets of at most FEW texts that can be similar."""
+    listed = members.filter(F.col("size") <= FEW).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("weight", (-F.col("row")).alias("r"), "n")), False).alias("l")
+    )
+    each = listed.select("l", F.posexplode("l").alias("at", "a"))
+    pairs = each.select("a", F.explode(F.slice("l", F.col("at") + 2, FEW)).alias("b"))
+    fits = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity
+    return pairs.filter(fits).select((-F.col("a.r")).alias("rep"), (-F.col("b.r")).alias("row"))
+
+
+def _to_hubs(members: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """rep, row: each text of a bucket and the bucket's hub (key, hub, hub_n, hub_weight)."""
+    fits = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * similarity
+    met = members.join(hubs, "key").filter((F.col("row") != F.col("hub")) & fits)
+    return met.select(*_pairs("hub", "row", ("hub_weight", "weight")))
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    best = F.max(F.struct("weight", (-F.col("row")).alias("r"), "n"))
+    return members.groupBy("key").agg(best.alias("_b")).select(
+        "key", (-F.col("_b.r")).alias("hub"), F.col("_b.n").alias("hub_n"), F.col("_b.weight").alias("hub_weight")
+    )
+
+
+def _beside(mixed: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """rep, row: texts of two components that are neighbours in a chance order of a bucket, dealt over many tasks."""
+    chance = F.xxhash64("row", "key", F.lit(turn))
+    dealt = mixed.withColumns({"salt": F.pmod(chance, F.ceil(F.col("size") / SALT_ROWS)), "turn": F.xxhash64(chance)})
+    order = Window.partitionBy("key", "salt").orderBy("turn", "row")
+    one = F.struct("row", "n", "weight", "component")
+    near = F.array(*[F.lag(one, k).over(order) for k in range(1, BEFORE + 1)])
+    met = dealt.select("row", "n", "weight", "component", near.alias("_near")).withColumn("_o", F.explode("_near"))
+    met = met.select("*", *[F.col(f"_o.{c}").alias(f"_{c}") for c in ("row", "n", "weight", "component")])
     fits = F.least("n", "_n") >= F.greatest("n", "_n") * similarity
-    pairs = few.join(other, "key").filter((F.col("row") < F.col("_row")) & (F.col("component") != F.col("_component")) & fits)
-    pairs = pairs.select(F.col("row").alias("rep"), F.col("_row").alias("row"))
-    rows = write_table(mixed.filter(F.col("size") > FEW).select("row", "component").distinct(), "near-unconnected")
-    return pairs.unionByName(_sharing(rows, texts, similarity)).distinct()
+    return met.filter((F.col("component") != F.col("_component")) & fits).select(*_pairs("row", "_row", ("weight", "_weight")))
 
 
 def similar_texts(texts: DataFrame, sketches: DataFrame, similarity: float, rounds: int) -> DataFrame:
-    """rep, row: pairs of different texts of at least that similarity, enough to connect all that are alike.
-
-    Texts of a bucket share a sketch. In a round, each bucket's representative is the text that shares most with
-    others, so that a text many were made from comes first; all others are compared with it, and comparisons grow
-    as the bucket does. Texts that are alike to it are done there; among the others the next round chooses. After
-    the rounds, every pair of a bucket that isn't connected yet and can be similar is compared: see _sharing.
+    """row, component of the texts that share a sketch with others: all that links of at least that similarity
+    connect are in one component.
+
+    Texts with a sketch in common make a bucket. All pairs of a small bucket are compared. The texts of a larger one
+    are compared with its hub, the text that shares most with others, so that what many were made from comes first;
+    then, where a bucket isn't of one component yet, with neighbours in a chance order and with the hub of those that
+    the first hub isn't connected with. After the rounds, every pair of a larger bucket that is still of two
+    components and can be similar is compared: see _sharing. So comparisons grow with the texts, but for texts that
+    share rare shingles and aren't similar.
     """
     keyed = sketches.select("row", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = write_table(keyed.join(shared, "key"), "buckets")
-    weights = members.groupBy("row").agg(F.sum("size").alias("weight"))
-    members = write_table(members.join(weights, "row").select("key", "row", "n", "size", "weight"), "buckets")
-    nothing = members.select(F.col("row").alias("rep"), "row").limit(0)
-    open_, tried, links = members, nothing, nothing
-    for _ in range(rounds):
-        best = F.max(F.struct("weight", (-F.col("row")).alias("_r"), "n"))
-        reps = open_.groupBy("key").agg(best.alias("_b")).select(
-            "key", (-F.col("_b._r")).alias("rep"), F.col("_b.n").alias("rep_n")
+    listed = keyed.join(shared, "key").groupBy("row", "n").agg(
+        F.sum("size").alias("weight"), F.collect_list(F.struct("key", "size")).alias("_k")  # a text has at most 32 keys
+    )
+    listed = write_table(listed, "buckets")
+    members = listed.select("row", "n", "weight", F.explode("_k").alias("_k")).select("row", "n", "weight", "_k.key", "_k.size")
+    large = members.filter(F.col("size") > FEW)
+    placed = listed.select("row", F.col("row").alias("component"))
+    pairs = _small(members, similarity)
+    if rounds:
+        pairs = pairs.unionByName(_to_hubs(large, _hubs(large), similarity))
+    placed = _merged(placed, _links(pairs.distinct(), texts, similarity))
+    for turn in range(1, rounds + 1):
+        now = write_table(large.join(placed, "row"), "near-members")
+        by = now.groupBy("key").agg(
+            F.min("component").alias("_a"), F.max("component").alias("_z"),
+            F.max_by("component", F.struct("weight", -F.col("row"))).alias("_first"),
         )
-        reps = write_table(reps, "representatives")
-        fits = F.least("n", "rep_n") >= F.greatest("n", "rep_n") * similarity
-        pairs = members.join(reps, "key").filter((F.col("row") != F.col("rep")) & fits).select(
-            F.least("rep", "row").alias("rep"), F.greatest("rep", "row").alias("row")
-        ).distinct()
-        pairs = pairs.join(tried, ["rep", "row"], "left_anti")
-        compared = _links(write_table(pairs, "pairs"), texts, similarity)
-        good = compared.filter(F.col("similarity") >= similarity).select("rep", "row")
-        links, tried = links.unionByName(good), tried.unionByName(compared.select("rep", "row"))
-        left = open_.join(reps.select("key", F.col("rep").alias("_rep")), "key").filter(F.col("row") != F.col("_rep"))
-        left = left.withColumns({"rep": F.least("row", "_rep"), "other": F.greatest("row", "_rep")})
-        linked = good.withColumnRenamed("row", "other")
-        open_ = left.join(linked, ["rep", "other"], "left_anti").select("key", "row", "n", "weight")
-        open_ = write_table(open_, "open")
-        if not open_.limit(1).count():
-            break
-    pairs = _unconnected(members, links, texts, similarity).join(tried, ["rep", "row"], "left_anti")
-    compared = _links(write_table(pairs, "pairs"), texts, similarity)
-    return links.unionByName(compared.filter(F.col("similarity") >= similarity).select("rep", "row"))
+        mixed = write_table(now.join(by.filter("_a < _z").drop("_a", "_z"), "key"), "near-mixed")
+        if not mixed.limit(1).count():
+            return placed
+        if turn < rounds:
+            others = _hubs(mixed.filter(F.col("component") != F.col("_first")))
+            pairs = _beside(mixed, turn, similarity).unionByName(_to_hubs(mixed, others, similarity)).distinct()
+            placed = _merged(placed, _links(pairs, texts, similarity))
+    if not rounds:
+        mixed = write_table(large.join(placed, "row"), "near-mixed")
+    rows = write_table(mixed.select("row", "component").distinct(), "near-unconnected")
+    return _merged(placed, _links(_sharing(rows, texts, similarity), texts, similarity))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links, kept, and row (its number in this run).
+    """One row per document: doc_id, class_id, class_size, kept, and row (its number in this run).
 
     Texts with the same words (lower-cased runs of letters, digits and non-ASCII characters) are copies. Different
     texts are linked if at least `similarity` of the occurrence-labelled shingles of both (five words; all words of
     a shorter text) are matched by an alignment of the texts. A class is what links and copies connect;
-    class_id is its least doc_id, and the first row with it is kept. n_links counts the links found of the text to
-    others. Two texts of just that similarity share one of the sketches but for a chance of 1 in 90,000; see
-    similar_texts for how those that share one are compared without making all pairs.
+    class_id is its least doc_id, and the first row with it is kept. Two texts of just that similarity share one of
+    the sketches but for a chance of 1 in 90,000; see similar_texts for how those that share one are compared without
+    making all pairs. The number of rounds changes what is compared, not the classes.
 
     Nulls: a null text has no words, and texts without words are each a class of their own; null doc_ids come
     last. Very long texts are compared whole. Ties: of rows with one doc_id the first read is kept. An empty table
@@ -268,29 +331,28 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUND
     firsts = made.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("first"))
     firsts = write_table(firsts, "firsts")
     one_each = join_rows(made, firsts.select(F.col("first").alias("row")), "row")
-    links = similar_texts(rows.select("row", "text"), one_each, similarity, rounds)
-    links = write_table(links.distinct(), "near-links")
-    degree = (
-        links.select("rep").union(links.select("row")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    )
-    found = components(links, "rep", "row").join(degree.withColumnRenamed("rep", "vertex"), "vertex", "left")
+    found = similar_texts(rows.select("row", "text"), one_each, similarity, rounds).withColumnRenamed("row", "vertex")
     first_of = made.select("row", "digest").join(firsts, "digest", "left")
-    labelled_rows = first_of.select("row", F.coalesce("first", "row").alias("vertex")).join(found, "vertex", "left")
-    placed = labelled_rows.select(
-        "row", F.coalesce("component", "vertex").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    ).join(rows.select("row", "doc_id"), "row")
+    first_of = write_table(first_of.select("row", F.coalesce("first", "row").alias("vertex")), "near-vertices")
+    placed = first_of.join(found, "vertex", "left").select("row", F.coalesce("component", "vertex").alias("component"))
+    placed = placed.join(rows.select("row", "doc_id"), "row")
     placed = write_table(placed, "near-classes")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row")))
     heads = placed.groupBy("component").agg(best.alias("_best"), F.count(F.lit(1)).alias("class_size"))
     heads = write_table(heads, "near-heads")  # a row per class: the join may then split a large one
     return placed.join(heads, "component").select(
-        "doc_id", F.col("_best.doc_id").alias("class_id"), "class_size", "n_links",
+        "doc_id", F.col("_best.doc_id").alias("class_id"), "class_size",
         (F.col("row") == F.col("_best.row")).alias("kept"), "row",
     )
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, with all their columns."""
+    """docs with one document of each class, with all their columns.
+
+    Rows are dropped by their number, not their id: of repeated rows, with null ids too, one stays. Null texts and
+    texts without words all stay. Very long texts are compared whole. An empty table gives an empty result. Columns
+    may have any names.
+    """
     row = free_name(docs, "_row")
     marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "near-documents")
     rows = marked.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
