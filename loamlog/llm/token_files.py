@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import scratch_path, small_batches, write_table
+from .common import global_prefix, scratch_path, small_batches, write_table
 from .tokenizing import encoder
 
 END_ID = 2
 #: Bytes of a row group before encoding, of a page, and of a dictionary: one row group's ids fit a dictionary.
 ROW_GROUP, PAGE, DICTIONARY = 32 << 20, 1 << 20, 2 << 20
+#: Documents of a file at most.
+FILE_ROWS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -51,14 +52,15 @@ def _encode(path: str, end_id: int):
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id",
-    text_col: str = "text",
+    text_col: str = "text", file_rows: int = FILE_ROWS,
 ) -> None:
     """Writes doc_id, n_tokens and ids (with end_id appended) in ascending doc_id order.
 
-    Files are ranges of doc_id: the part number gives their order, rows within are sorted. Ids are dictionary
-    encoded where a row group's distinct ids fit the dictionary, and delta encoded otherwise (version 2 pages);
-    row groups are bounded, and pages have column and offset indexes, so that reading some documents, or counts
-    alone, touches little else.
+    Files are ranges of doc_id of at most file_rows documents: the part number and then the file's number give their
+    order, rows within are sorted. Ids are dictionary encoded where a row group's distinct ids fit the dictionary, and
+    delta encoded otherwise (version 2 pages); row groups are bounded, and pages have column and offset indexes, so
+    that reading some documents, or counts alone, touches little else. Texts are shuffled and not ids, which are
+    larger.
 
     Nulls: a null text is encoded as empty and has the end id alone; null doc_ids come first. Very long texts are
     one list. Ties and repeated rows stay, in an order fixed by a hash of the text. An empty table gives files
@@ -74,6 +76,8 @@ def write_token_files(
         .sortWithinPartitions(*order)
         .mapInArrow(_encode(tokenizer, end_id), f"doc_id {kind}, n_tokens long, ids array<int>")
         .write.option("compression", "zstd")
+        .option("parquet.compression.codec.zstd.level", 1)
+        .option("maxRecordsPerFile", file_rows)
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.dictionary.page.size", DICTIONARY)
@@ -109,8 +113,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 for each document in the files.
 
-    start counts all ids of documents before it: files are summed, the sums (one row per file) are added up in
-    order and each file goes on from its own. Only counts are shuffled.
+    start counts all ids of documents before it: the running sum of n_tokens in order of files and rows, which goes
+    on from one partition to the next by their totals. Only counts are shuffled.
     """
     rows = read_token_files(spark, path)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -120,16 +124,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
         ),
         "token-index",
     )
-    totals = checked.groupBy("part", "file").agg(F.sum("n_tokens").alias("_t"))
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("file", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
-    own = Window.partitionBy("file").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
-    return checked.join(starts, "file").select(
-        "doc_id",
-        (F.col("_s") + F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).alias("start"),
-        "n_tokens",
-        "ids_crc32",
-    )
+    order = [F.col("part"), F.col("file"), F.col("row_index")]
+    placed = global_prefix(checked, [], order, {"start": F.col("n_tokens")}, "token-starts")
+    return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:

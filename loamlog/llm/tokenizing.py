@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import re
-import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces whose ids a worker remembers, at most, in each of two generations.
-REMEMBERED = 300_000
-#: What keeps a text from being cut at each full stop, comma, line feed and space: white space side by side, and a
-#: mark beside another or after a space, are or may be one piece. White space other than spaces and line feeds is rare
-#: enough to be left to the pre-tokenizer.
-_PAIRS = ("  ", " \n", "\n ", "\n\n")
-_ODD = re.compile("[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_MARKS = re.compile(r"[.,](?:(?<=[\W_].)|(?=[^\s\w]|_))")
+#: Pieces whose ids a worker remembers, at most, in each of two generations; longer pieces aren't.
+REMEMBERED, LENGTH = 300_000, 48
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A single space between two characters that aren't white space: a new piece always starts there.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
+_SPACE = re.compile(r"\s")
 
 
 def _byte_characters() -> dict[int, int]:
@@ -27,28 +23,50 @@ def _byte_characters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
+class _Spaces(Exception):
+    """A piece that begins or ends with white space, so that its neighbours may change its ids."""
+
+
 class _Seen(dict):
-    """Ids of pieces as bytes. When full, it starts anew and keeps the pieces of before in `old`."""
+    """Ids of pieces as bytes: each after a space, or at the start of a text or line. When full, it starts anew and
+    keeps the pieces of before in `old`."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, before: str, first: _Seen | None = None):
         super().__init__()
         self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+        self.before, self.first = before, self if first is None else first
         self.characters, self.old = _byte_characters(), {}
+        self.feed = array("i", self.encode("\n", add_special_tokens=False).ids).tobytes()
+
+    def whole(self, piece: str) -> bytes:
+        """By the tokenizer itself."""
+        return array("i", self.encode(self.before + piece, add_special_tokens=False).ids).tobytes()
+
+    def _other(self, piece: str) -> bytes:
+        """Of a piece that isn't of letters alone."""
+        stem = piece.rstrip(_MARKS)
+        if len(stem) < len(piece) and stem.isalpha():  # marks after letters are a piece
+            return self[stem] + self.first[piece[len(stem) :]]
+        body = piece.lstrip("\n") if self.before else piece
+        if not body or body[0].isspace() or body[-1].isspace():
+            raise _Spaces
+        if len(body) == len(piece):
+            return self.whole(piece)
+        # Line feeds take the place of the space.
+        return self.first.feed + self.first[body] if len(body) + 1 == len(piece) else self.first.whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            word = piece[1:] if piece[:1] == " " else piece
-            if word.isalpha():  # one piece for the pre-tokenizer too: its model alone will do
+            if piece.isalpha():  # one piece for the pre-tokenizer too: its model alone will do
                 form = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.characters)
-                found = [t.id for t in self.tokenize(form.replace(" ", "Ġ"))]
+                ids = array("i", [t.id for t in self.tokenize("Ġ" + form if self.before else form)]).tobytes()
             else:
-                found = self.encode(piece, add_special_tokens=False).ids
-            ids = struct.pack(f"<{len(found)}i", *found)
-        if len(piece) <= 48:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
+                ids = self._other(piece)
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        if len(piece) <= LENGTH:
             self[piece] = ids
         return ids
 
@@ -56,27 +74,34 @@ class _Seen(dict):
 class Encoder:
     """Token ids of whole texts by a file of the tokenizers library, for byte-level BPE.
 
-    The pre-tokenizer cuts a text into pieces that are encoded each by itself. Where a text has none of the rare
-    sequences above, its cuts around spaces, marks and line feeds are known without it; other texts are cut
-    at lone spaces only. Pieces seen before are remembered. So the ids are those of encoding the text as a whole.
+    The pre-tokenizer cuts a text into pieces that are encoded each by itself. It always cuts before a space that
+    stands between two characters that aren't white space, and before line feeds between such. So a text whose
+    white space is of this kind is cut there and its pieces, of which those seen before are remembered, are encoded
+    each by itself; a text that has other white space is cut at lone spaces only. So the ids are those of encoding
+    the text as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen = _Seen(self.tokenizer)
+        self.first = _Seen(self.tokenizer, "")
+        self.seen = _Seen(self.tokenizer, " ", self.first)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<i4")
-        if text[-1] == " " or any(p in text for p in _PAIRS) or _ODD.search(text) or _MARKS.search(text):
+        try:
+            head, *rest = text.replace("\n", " \n").replace("\n \n", "\n\n").split(" ")
+            found = [self.first[head], *map(self.seen.__getitem__, rest)]
+        except _Spaces:
             head, *rest = _BREAK.split(text)
-            pieces = [head, *[" " + x for x in rest]]
-        else:
-            cut = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
-            pieces = cut.split("\0")
-        return np.frombuffer(b"".join(map(self.seen.__getitem__, pieces)), dtype="<i4")
+            found = [self._piece(self.first, head), *[self._piece(self.seen, x) for x in rest]]
+        return np.frombuffer(b"".join(found), dtype="<i4")
+
+    @staticmethod
+    def _piece(seen: _Seen, piece: str) -> bytes:
+        return seen.whole(piece) if _SPACE.search(piece) else seen[piece]
 
 
 @lru_cache(maxsize=2)

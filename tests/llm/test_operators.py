@@ -1,5 +1,6 @@
 """Each corpus operator against a plain version, and its defined results at the edges."""
 
+import glob
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +243,43 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert tokenizer().decode(back[6][:-1]) == next(t for i, t, *_ in odd_rows() if i == 6) and back[3] == [2]
 
 
+def test_token_files_can_be_read_in_part(spark, make, tmp_path):
+    rng = random.Random(4)
+    docs = make([" ".join(words(rng, rng.randrange(40, 400), 3000)) for _ in range(1500)])
+    path = str(tmp_path / "t")
+    token_files.write_token_files(docs.repartition(3), path, file_rows=400)
+    files = sorted(glob.glob(f"{path}/*.parquet"))
+    metas = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_rows for m in metas) == 1500 and max(m.num_rows for m in metas) <= 400
+    for f, m in zip(files, metas):
+        column = {m.row_group(0).column(i).path_in_schema: m.row_group(0).column(i) for i in range(m.num_columns)}
+        ids = next(c for name, c in column.items() if name.startswith("ids"))
+        assert ids.compression == "ZSTD" and "RLE_DICTIONARY" in ids.encodings and ids.has_dictionary_page
+        assert column["doc_id"].has_column_index and column["doc_id"].has_offset_index and ids.has_offset_index
+        assert column["doc_id"].statistics.min <= column["doc_id"].statistics.max
+        assert m.row_group(0).total_byte_size <= token_files.ROW_GROUP
+    # Files are ranges of ids in order of their names, and a reader of one document's counts leaves the others out.
+    ranges = [(m.row_group(0).column(0).statistics.min, m.row_group(m.num_row_groups - 1).column(0).statistics.max) for m in metas]
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    some = spark.read.parquet(path).filter("doc_id = 700").select("n_tokens")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,700)" in plan and "ids" not in plan.split("ReadSchema")[1]
+    assert some.count() == 1
+    index = token_files.token_index(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in index] == list(range(1500))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(index, index[1:]))
+
+
+def test_ids_beyond_a_dictionary_are_delta_encoded(make, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "DICTIONARY", 64)
+    rng = random.Random(4)
+    token_files.write_token_files(make(["".join(chr(rng.randrange(97, 1000)) for _ in range(3000)) for _ in range(40)]), str(tmp_path / "t"))
+    for f in glob.glob(f"{tmp_path}/t/*.parquet"):
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        ids = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema.startswith("ids"))
+        assert "DELTA_BINARY_PACKED" in ids.encodings
+
+
 # 5
 
 
