@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import global_prefix
@@ -82,11 +82,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Rows of keys that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes that are broadcast at most, as counted before; more are joined by a shuffle. A row counts as ROW_BYTES.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 32
 
 
-def join_rows(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-    """rows joined to wanted by a long key; wanted is broadcast if it has few rows, counted before."""
-    few = wanted.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if few else wanted, on)
+def join_rows(
+    rows: DataFrame, wanted: DataFrame, on: str, more: Column | None = None, how: str = "inner"
+) -> DataFrame:
+    """rows joined to wanted by a short key; wanted is broadcast if it is small, which is counted before. more: bytes
+    of a row of wanted besides ROW_BYTES."""
+    size = F.lit(ROW_BYTES).cast("long") + (more if more is not None else F.lit(0))
+    few = (wanted.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(wanted) if few else wanted, on, how)

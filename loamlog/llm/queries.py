@@ -192,9 +192,11 @@ def _op10() -> str:
         return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
     known = ",\n".join(f"({text(a)}, {text(b)})" for a, b in licences.KNOWN)
+    digests = ",\n".join(f"('{a}', '{b}')" for a, b in licences.KNOWN_DIGESTS)
     return f"""
 WITH k AS (
-  SELECT DISTINCT licence, sha256({canonical('t')}) AS digest FROM (VALUES {known}) AS v(licence, t)),
+  SELECT licence, sha256({canonical('t')}) AS digest FROM (VALUES {known}) AS v(licence, t)
+  UNION SELECT licence, digest FROM (VALUES {digests}) AS w(licence, digest)),
 d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, sha256({canonical("coalesce(text, '')")}) AS c
   FROM documents),

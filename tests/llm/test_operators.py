@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -404,13 +405,105 @@ def test_chains_against_all_pairs():
         assert first[1] - substring.SEED in {x[i] for i in range(n) if best[i] == pytest.approx(best[top])}
 
 
-def test_seeds_in_every_window():
+def test_seeds_are_those_of_least_hash():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 2**63, size=2000, dtype=np.uint64)
-    _, places = substring.seeds(h)
-    assert max(np.diff(places)) <= substring.WINDOW and places[0] < substring.WINDOW
-    shared, (_, other) = set(places.tolist()), substring.seeds(h[700:900])
-    assert len({p + 700 for p in other.tolist()} & shared) >= 4
+    h = rng.integers(0, 2**63, size=4000, dtype=np.uint64)
+    seeds, places = substring.seeds(np.concatenate((h, h[:500])))
+    firsts = places[places >= 0]
+    assert 0.8 < len(firsts) / 4000 / substring.SHARE < 1.2
+    assert len(set(seeds[places >= 0].tolist())) == len(firsts) and set(seeds[places < 0]) <= set(seeds[places >= 0])
+    own, _ = substring.seeds(h[700:900])
+    assert set(own.tolist()) <= set(seeds.tolist())
+
+
+def edited(rng, passage, identity):
+    """A passage with some of its words changed, left out or added, so that this share matches."""
+    out = list(passage)
+    for k in sorted(rng.sample(range(len(passage)), round(len(passage) * (1 - identity))), reverse=True):
+        out[k : k + 1] = rng.choice([["changed" + str(rng.randrange(9**9))], [], [out[k], "added" + str(rng.randrange(9**9))]])
+    return out
+
+
+@pytest.mark.parametrize("size,identity,least", [
+    (55, 1.0, 0.97), (80, 1.0, 1.0), (60, 0.95, 0.9), (60, 0.9, 0.75), (120, 0.9, 0.95), (120, 0.85, 0.85), (200, 0.85, 0.95)
+])
+def test_passages_that_are_found(make, size, identity, least):
+    """Planted passages: how many of the pairs are reported, by how many words."""
+    rng = random.Random(size)
+    texts, pairs = [], 60
+    for _ in range(pairs):
+        passage = words(rng, size, 10**9)
+        for part in (passage, edited(rng, passage, identity)):
+            texts.append(" ".join([*words(rng, rng.randrange(20, 80), 10**9), *part, *words(rng, 60, 10**9)]))
+    rows = substring.repeated_passages(make(texts)).collect()
+    got = {(r["doc_id"], r["other_id"]) for r in rows}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(pairs)}
+    print(size, identity, len(got) / pairs)
+    assert len(got) >= least * pairs
+
+
+def test_passages_whose_parts_are_first_elsewhere(make):
+    """B and C share 90 words; their halves are also in earlier texts, and so are halves of many others."""
+    rng = random.Random(3)
+    stock = [words(rng, 45, 10**9) for _ in range(12)]
+
+    def text(*parts):
+        return " ".join([*words(rng, 40, 10**9), *[w for p in parts for w in p], *words(rng, 40, 10**9)])
+
+    texts = [text(s) for s in stock for _ in range(8)]
+    pairs = [(a, b) for a in range(12) for b in range(12) if a != b][:60]
+    for a, b in pairs:
+        texts += [text(stock[a], stock[b])] * 1 + [text(stock[a], stock[b])]
+    rows = substring.repeated_passages(make(texts)).collect()
+    at = len(stock) * 8
+    covered = defaultdict(set)
+    for r in rows:
+        covered[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    found = sum(len(covered[at + 2 * i + 1] & set(range(40, 130))) >= 88 for i in range(len(pairs)))
+    assert found >= 0.98 * len(pairs)
+
+
+def test_each_copy_within_a_text_is_found(make):
+    rng = random.Random(5)
+    passage = words(rng, 60, 10**9)
+    other = lambda: words(rng, 100, 10**9)
+    texts = [" ".join([*other(), *passage, *other()]), " ".join([*other(), *passage, *other(), *passage, *other()])]
+    rows = substring.repeated_passages(make(texts)).collect()
+    assert sorted(r["start"] // 10 for r in rows) == [10, 26]
+
+
+@pytest.mark.parametrize("line,least", [(45, 0.97), (30, 0.85)])
+def test_passages_against_all_pairs(make, line, least):
+    """The whole result on texts that share stock lines, against an alignment of every text with all earlier ones. A
+    line of 30 words has no seed with a chance of 1 in 28, and then isn't told from where it stands alone."""
+    rng = random.Random(6)
+    lines = [words(rng, line, 10**9) for _ in range(9)]
+    texts = []
+    for _ in range(90):
+        parts = [rng.choice(lines) if rng.random() < 0.6 else words(rng, line, 10**9) for _ in range(rng.randrange(2, 9))]
+        texts.append(" ".join(w for p in parts for w in (edited(rng, p, 0.97) if rng.random() < 0.2 else p)))
+    hashes = [substring.word_hashes(word_bytes(t)) for t in texts]
+    want, got = defaultdict(set), defaultdict(set)
+    for i, a in enumerate(hashes):
+        for b in hashes[:i]:
+            at = defaultdict(list)
+            for q, h in enumerate(substring.kmers(b, 6).tolist()):
+                at[h].append(q)
+            shared = {q - p for p, h in enumerate(substring.kmers(a, 6).tolist()) for q in at[h]}
+            for d in shared:
+                for x0, x1, *_ in substring.passages(a, b, d):
+                    want[i] |= set(range(x0, x1))
+    for r in substring.repeated_passages(make(texts)).collect():
+        assert r["other_id"] < r["doc_id"]
+        x = hashes[r["doc_id"]][r["start"] : r["end"]]
+        y = hashes[r["other_id"]][r["other_start"] : r["other_end"]]
+        common = (Counter(x.tolist()) & Counter(y.tolist())).total()
+        assert min(len(x), len(y)) >= 50 and common >= 0.8 * max(len(x), len(y))
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    total, found = sum(map(len, want.values())), sum(len(want[i] & got[i]) for i in want)
+    print(line, found / total)
+    assert total > 2000 and found >= least * total
+    assert sum(len(got[i] - want[i]) for i in got) <= 0.05 * total  # a crossing passage that one alignment hides
 
 
 # 9
@@ -550,6 +643,43 @@ def test_licences(make, odd, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_licences_known_by_digest(make):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    known = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+             "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    held = {f: (folder / f).read_text() for f in known if (folder / f).exists()}
+    if not held:
+        pytest.skip("no licence texts here")
+    texts = [*held.values(), *[t.upper().replace(",", " ; ") for t in held.values()], *[t[:-200] for t in held.values()]]
+    texts += [t[1] for t in licences.KNOWN if t[0].startswith(("BSD", "Zlib"))]
+    got = [r["whole_text_licence"] for r in licences.scan_licences(make(texts)).orderBy("doc_id").collect()]
+    names = [known[f] for f in held]
+    assert got[: 2 * len(names)] == names * 2
+    assert got[2 * len(names) : 3 * len(names)] == [None] * len(names)
+    assert set(got[3 * len(names) :]) == {"BSD-2-Clause", "BSD-3-Clause", "Zlib"}
+
+
+def test_several_names_of_one_licence(spark, odd):
+    text = F.sha2(licences.canonical(F.lit("one")), 256)
+    known = spark.range(2).select(F.concat(F.lit("name-"), "id").alias("licence"), text.alias("digest"))
+    rows = licences.scan_licences(odd, known.unionByName(known)).collect()
+    assert len(rows) == len(odd_rows())
+    assert [(r["licences"], r["whole_text_licence"], r["n_notices"]) for r in rows if r["doc_id"] == 9] == [("name-0,name-1",) * 2 + (1,)] * 2
+
+
+def test_respelling_before_lines_changes_no_digest(make):
+    rng = random.Random(7)
+    parts = ["Copyright (c) 2020", "copyright owner", "fulfil ", "per cent", "&", "https://x", "\n", "\n", " ", "licence", "©", "non-commercial",
+             "(C)", "All rights reserved", "wilful", "x", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    text = F.col("text")
+    old = F.regexp_replace(F.lower(text), licences.COPYRIGHT_LINE, "\n")
+    for a, b in licences.EQUIVALENTS:
+        old = F.replace(old, F.lit(a), F.lit(b))
+    old = F.trim(F.regexp_replace(old, licences.PUNCTUATION, " "))
+    assert make(texts).filter(licences.canonical(text) != old).count() == 0
+
+
 # The queries
 
 
