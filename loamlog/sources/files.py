@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in `spark.checkpoint.dir`, or in a folder of our own where it is unset."""
+    """A new path in `spark.checkpoint.dir`. Where that is unset, in a temporary folder, which only a local master's
+    executors share with the driver: on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="loamlog-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/loamlog/{name}-{uuid.uuid4().hex}"
@@ -24,7 +28,18 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     the executors that made it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes what write_table wrote, once all that reads it is written itself."""
+    for df in tables:
+        path = df.__dict__.get("_scratch_path")
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Files:
