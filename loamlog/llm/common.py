@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import global_prefix
-from ..sources.files import scratch_path, write_table
+from ..sources.files import free, scratch_path, write_table
 
 __all__ = [
-    "cut_spans", "free_name", "global_prefix", "join_rows", "scratch_path", "small_batches", "without_words", "word_bytes",
+    "cut_spans", "free", "free_name", "global_prefix", "join_rows", "scratch_path", "small_batches", "without_words", "word_bytes",
     "write_table",
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import free, write_table
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -25,6 +25,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = own.unionByName(sent).groupBy("u").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         up = labels.select(F.col("u").alias("label"), F.col("label").alias("_up"))
         jumped = least.join(up, "label").select("u", F.least("label", "_up").alias("label"), "was")
-        labels = write_table(jumped, "labels")
+        old, labels = labels, write_table(jumped, "labels")
+        free(old)
         if not labels.filter("label <> was").limit(1).count():
+            free(pairs)
             return labels.select(F.col("u").alias("vertex"), F.col("label").alias("component"))

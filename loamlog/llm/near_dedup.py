@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, join_rows, small_batches, word_bytes, write_table
+from .common import free, free_name, join_rows, small_batches, word_bytes, write_table
 from .components import components
 from .shingles import kmers, labelled, word_hashes
 
@@ -134,8 +134,8 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     A text that many are compared with goes once to each task that has some of them, SALT_ROWS at a time."""
     pairs = write_table(pairs, "pairs")
-    ends = pairs.select(F.col("rep").alias("row")).union(pairs.select("row")).distinct()
-    held = write_table(join_rows(texts, write_table(ends, "pair-ends"), "row"), "near-texts")
+    ends = write_table(pairs.select(F.col("rep").alias("row")).union(pairs.select("row")).distinct(), "pair-ends")
+    held = write_table(join_rows(texts, ends, "row"), "near-texts")
     salts = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     salts = write_table(salts, "pair-salts")
     own = held.withColumnRenamed("row", "rep").join(salts, "rep").select(
@@ -147,7 +147,9 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     both = own.unionByName(salted.join(held, "row").select("rep", "salt", "row", "text"))
     both = both.repartition("rep", "salt").sortWithinPartitions("rep", "salt", F.col("row").asc_nulls_first())
     made = both.select("rep", "row", "text").mapInArrow(_verify(similarity), "rep long, row long, similarity double")
-    return write_table(made.filter(F.col("similarity") >= similarity).select("rep", "row"), "links")
+    links = write_table(made.filter(F.col("similarity") >= similarity).select("rep", "row"), "links")
+    free(pairs, ends, held, salts)
+    return links
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,9 @@ def _merged(placed: DataFrame, links: DataFrame) -> DataFrame:
     both = left.join(ends, F.col("row") == F.col("_end")).select("a", F.col("component").alias("b"))
     found = components(both.filter("a <> b").distinct(), "a", "b").withColumnRenamed("component", "_new")
     new = placed.join(found, F.col("component") == F.col("vertex"), "left")
-    return write_table(new.select("row", F.coalesce("_new", "component").alias("component")), "near-placed")
+    new = write_table(new.select("row", F.coalesce("_new", "component").alias("component")), "near-placed")
+    free(links)
+    return new
 
 
 def _pairs(left: str, right: str, weights: tuple[str, str]):
@@ -290,6 +294,7 @@ def similar_texts(texts: DataFrame, sketches: DataFrame, similarity: float, roun
             F.max_by("component", F.struct("weight", -F.col("row"))).alias("_first"),
         )
         mixed = write_table(now.join(by.filter("_a < _z").drop("_a", "_z"), "key"), "near-mixed")
+        free(now)
         if not mixed.limit(1).count():
             return placed
         if turn < rounds:

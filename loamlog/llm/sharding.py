@@ -45,12 +45,29 @@ def shard_by_bytes(docs: DataFrame, order: list[str], size_col: str = "size", sh
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes whole documents as one folder per shard, in slot order; placed has id_col, shard and slot."""
+def sharded_documents(
+    docs: DataFrame, order: list[str], text_col: str = "text", shards: int = SHARDS
+) -> DataFrame:
+    """docs with all their columns, `shard` and `slot`, by shard_by_bytes on the sizes of their texts.
+
+    Rows are told apart by a number that they get, not by an id: repeated rows, and those with null ids, stay as many
+    as they are. Null texts have the size 1. Very long texts aren't cut: a shard may be larger by one. Ties in the order
+    are broken by the row's number. An empty table gives an empty result. Input columns called `shard` or `slot` are
+    replaced, others may have any names. Equal texts are placed like others: each by its own place in the order.
+    """
     docs = docs.drop("shard", "slot")
-    key = free_name(docs, "_id")
-    marks = placed.select(F.col(id_col).alias(key), "shard", "slot")
-    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col(key))).drop(key)
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
+    row = free_name(docs, "_row")
+    marked = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "shard-documents")
+    keys = [f"_k{i}" for i in range(len(order))]
+    sized = marked.select(F.col(row).alias("_row"), text_bytes(F.col(text_col)).alias("_bytes"),
+                          *[F.col(c).alias(k) for c, k in zip(order, keys)])
+    placed = shard_by_bytes(sized, [*keys, "_row"], "_bytes", shards).select(F.col("_row").alias(row), "shard", "slot")
+    return marked.join(placed, row).drop(row)
+
+
+def write_shards(docs: DataFrame, path: str, order: list[str], text_col: str = "text", shards: int = SHARDS) -> None:
+    """Writes whole documents as one folder per shard, in slot order; see sharded_documents."""
+    placed = sharded_documents(docs, order, text_col, shards)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard"
     ).parquet(path)

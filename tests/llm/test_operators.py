@@ -303,11 +303,19 @@ def test_shards(make, odd, empty):
     assert sharding.shard_by_bytes(empty.withColumn("size", F.lit(1)), ["doc_id"]).count() == 0
 
 
-def test_write_shards(spark, make, tmp_path):
+def test_write_shards(spark, make, odd, tmp_path):
     docs = make(["x" * i for i in range(50)])
     placed = sharding.shard_by_bytes(docs.select("doc_id", sharding.text_bytes(F.col("text")).alias("size")), ["doc_id"], shards=4)
-    sharding.write_shards(docs, placed, str(tmp_path / "s"))
+    sharding.write_shards(docs, str(tmp_path / "s"), ["doc_id"], shards=4)
     assert spark.read.parquet(str(tmp_path / "s")).filter("shard = 2").count() == placed.filter("shard = 2").count() > 0
+    sharding.write_shards(odd, str(tmp_path / "odd"), ["doc_id"], shards=4)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    texts = [(r["doc_id"], r["text"]) for r in back.collect()]
+    assert Counter(texts) == Counter((i, t) for i, t, *_ in odd_rows())
+    slots = defaultdict(list)
+    for r in back.collect():
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 # 6
