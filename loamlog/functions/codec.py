@@ -1,7 +1,7 @@
 """Canonical CBOR: one encoding for each value.
 
 Values: None, bool, int (64 bits), bytes, str, list, dict with any of these as keys. Floats have no encoding.
-Kept out of queries that can do without: it is Python, run by Arrow batches.
+Columns are encoded by built-in functions (encode_as); decoding bytes of any shape is Python, run by Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import (
+    ArrayType, BinaryType, BooleanType, ByteType, DataType, IntegerType, LongType, MapType, ShortType, StringType, StructType,
+)
 
 #: Limits of what is decoded.
 MAX_BYTES, MAX_ITEMS, MAX_DEPTH = 256 << 20, 16 << 20, 128
@@ -134,24 +136,65 @@ def encoded_length(c: Column) -> Column:
     return F.when(n < 24, 1).when(n < 1 << 8, 2).when(n < 1 << 16, 3).when(n < 1 << 32, 5).otherwise(9)
 
 
-@F.pandas_udf(BinaryType())
-def encode_integers(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda v: encode(None if pd.isna(v) else int(v)))
-
-
-@F.pandas_udf(BinaryType())
-def encode_texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda v: encode(v if isinstance(v, str) else None))
-
-
-@F.pandas_udf(BinaryType())
-def encode_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """Rows of a struct as maps from field names."""
-    for part in parts:
-        rows = part.astype(object).where(part.notna(), None).to_dict("records")
-        yield pd.Series([encode({k: v.item() if hasattr(v, "item") else v for k, v in r.items()}) for r in rows])
+def _byte(n: int) -> Column:
+    return F.unhex(F.lit(f"{n:02x}"))
+
+
+def _head_of(major: int, n: Column) -> Column:
+    """The head of a value: its kind and a number from 0 up, in the shortest form."""
+    form = lambda info, digits: F.concat(F.lit(f"{major << 5 | info:02x}"), F.lpad(F.hex(n), digits, "0"))
+    return F.unhex(
+        F.when(n < 24, F.lpad(F.hex(n + (major << 5)), 2, "0")).when(n < 1 << 8, form(24, 2)).when(n < 1 << 16, form(25, 4))
+        .when(n < 1 << 32, form(26, 8)).otherwise(form(27, 16))
+    )
+
+
+def encode_integers(c: Column) -> Column:
+    """By built-in functions alone; null as null."""
+    c = c.cast("long")
+    return F.when(c.isNull(), _byte(0xF6)).when(c < 0, _head_of(1, -1 - c)).otherwise(_head_of(0, c))
+
+
+def encode_texts(c: Column) -> Column:
+    raw = c.cast("binary")
+    return F.when(c.isNull(), _byte(0xF6)).otherwise(F.concat(_head_of(3, F.octet_length(raw).cast("long")), raw))
+
+
+def _joined(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(bytearray()), lambda a, x: F.concat(a, x))
+
+
+def encode_as(c: Column, kind: DataType) -> Column:
+    """A column of a type as canonical CBOR, by built-in functions alone: structs and maps as maps, null as null.
+
+    A struct's keys are in order of their encodings; a map's are sorted by row. Floats and times have no encoding.
+    """
+    null = _byte(0xF6)
+    match kind:
+        case BooleanType():
+            made = F.when(c, _byte(0xF5)).otherwise(_byte(0xF4))
+        case ByteType() | ShortType() | IntegerType() | LongType():
+            return encode_integers(c)
+        case StringType():
+            return encode_texts(c)
+        case BinaryType():
+            made = F.concat(_head_of(2, F.octet_length(c).cast("long")), c)
+        case ArrayType():
+            each = F.transform(c, lambda x: encode_as(x, kind.elementType))
+            made = F.concat(_head_of(4, F.size(c).cast("long")), _joined(each))
+        case MapType():
+            pair = lambda e: F.struct(encode_as(e["key"], kind.keyType).alias("k"), encode_as(e["value"], kind.valueType).alias("v"))
+            sized = F.transform(F.map_entries(c), lambda e: F.struct(F.octet_length(pair(e)["k"]).alias("n"), pair(e).alias("p")))
+            each = F.transform(F.array_sort(sized), lambda x: F.concat(x["p"]["k"], x["p"]["v"]))
+            made = F.concat(_head_of(5, F.size(c).cast("long")), _joined(each))
+        case StructType():
+            fields = sorted(kind.fields, key=lambda f: canonical_key(f.name))
+            keys = [F.lit(bytearray(encode(f.name))) for f in fields]
+            values = [encode_as(c.getField(f.name), f.dataType) for f in fields]
+            made = F.concat(F.lit(bytearray(_head(5, len(fields)))), *[x for kv in zip(keys, values, strict=True) for x in kv])
+        case _:
+            raise CodecError(f"no encoding of {kind.simpleString()}")
+    return F.when(c.isNull(), null).otherwise(made)
 
 
 @F.pandas_udf(StringType())

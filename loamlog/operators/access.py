@@ -69,6 +69,24 @@ def contains(df: DataFrame, key: str, value) -> bool:
     return bool(equal(df, key, value).limit(1).count())
 
 
+def has_key(df: DataFrame, key: str, values: list) -> DataFrame:
+    """key, found: whether some row has each of the values."""
+    asked = df.sparkSession.createDataFrame([(v,) for v in values], df.select(F.col(key).alias("key")).schema)
+    held = df.filter(F.col(key).isin(values)).select(F.col(key).alias("_k")).distinct()
+    return asked.join(held, F.col("key") == F.col("_k"), "left").select("key", F.col("_k").isNotNull().alias("found"))
+
+
+def rejected_inserts(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """Of new entries (key, entity_id), those that a unique index refuses: another entity holds the key, or one of the
+    same batch before it (by id) takes it. Null keys are refused to none."""
+    held = entries.filter("key is not null").groupBy("key").agg(F.min("entity_id").alias("_a"), F.max("entity_id").alias("_z"))
+    taken = new.filter("key is not null").groupBy("key").agg(F.min("entity_id").alias("_first"))
+    met = new.join(held, "key", "left").join(taken, "key")
+    mine = F.col("entity_id")
+    other = F.col("_a").isNotNull() & ((F.col("_a") != mine) | (F.col("_z") != mine))
+    return met.filter(other | (F.col("_first") != mine)).select("key", "entity_id")
+
+
 def after_composite(df: DataFrame, keys: list[str], values: list, inclusive: bool = False) -> DataFrame:
     """Rows whose composite key, compared column by column, is above values."""
     cond = F.lit(inclusive)

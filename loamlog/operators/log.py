@@ -99,11 +99,11 @@ def _kind(before: Column) -> Column:
     return F.when(F.col("is_tombstone"), "delete").when(F.coalesce(before, F.lit(True)), "insert").otherwise("update")
 
 
-def classify_changes(log: DataFrame, keys: tuple[str, ...] = KEYS, spread: bool = False) -> DataFrame:
+def classify_changes(log: DataFrame, keys: tuple[str, ...] = KEYS, spread: bool = True) -> DataFrame:
     """Each version as insert, update or delete, by whether the entity existed before it.
 
-    An entity's versions are sorted in one task; with spread, for logs in which an entity may have a large share of
-    all versions, they are sorted by range over many.
+    Versions are sorted by range over many tasks, so that an entity may have a large share of all; without spread, an
+    entity's versions are sorted in one task, with one shuffle less.
     """
     if spread:
         placed = global_lag(log, "is_tombstone", list(keys), "sequence", "_before")
@@ -112,6 +112,33 @@ def classify_changes(log: DataFrame, keys: tuple[str, ...] = KEYS, spread: bool
     return log.withColumn("change_type", _kind(before))
 
 
+def between(log: DataFrame, first: int, last: int) -> DataFrame:
+    """All versions of a range of sequences, both ends included: what some commits wrote."""
+    return log.filter(F.col("sequence").between(first, last))
+
+
+def scan_first(log: DataFrame, n: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The first n entities in order of their keys: a limit in each task, then one over those."""
+    return scan(log, None, keys).orderBy(*keys).limit(n)
+
+
+def write_batch(log: DataFrame, staged: DataFrame, sequence: int) -> DataFrame:
+    """New versions of one commit, to append to the log. staged: keys, is_tombstone, op_type and payload columns.
+
+    op_type, where it isn't null, is what the writer knows the write to be and isn't looked up; otherwise it is an
+    insert or update by whether the entity exists. Of an entity's writes the last by `ordinal` counts.
+    """
+    rest = [c for c in staged.columns if c not in KEYS]
+    last = staged.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "ordinal").alias("_v"))
+    last = last.select(*KEYS, *[F.col(f"_v.{c}").alias(c) for c in rest if c != "ordinal"])
+    asked = last.filter("op_type is null").select(*KEYS)
+    now = scan(log.join(asked, list(KEYS), "left_semi")).select(*KEYS, F.lit(True).alias("_there"))
+    kind = F.when(F.col("is_tombstone"), "delete").when(F.col("op_type").isNotNull(), F.col("op_type"))
+    kind = kind.when(F.col("_there").isNotNull(), "update").otherwise("insert")
+    made = last.join(now, list(KEYS), "left").withColumn("change_type", kind).drop("_there", "op_type")
+    return made.withColumn("sequence", F.lit(sequence).cast("long"))
+
+
 def recover(operations: DataFrame, commits: DataFrame, checkpoint: int = 0) -> DataFrame:
     """Replays a write-ahead log: operations of committed transactions after the checkpoint.
 

@@ -40,6 +40,22 @@ def contains_ci(text: Column, part: str) -> Column:
     return F.contains(F.lower(text), F.lit(part.lower()))
 
 
+def _decoded(df: DataFrame, text: str, schema: str, into: str) -> tuple[DataFrame, Column, Column]:
+    """df with JSON text decoded, and whether it is none of the schema: malformed, of other types, or null."""
+    whole = F.from_json(text, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+    bad = F.col(f"{into}._bad").isNotNull() | F.col(into).isNull()
+    return df.withColumn(into, whole), bad, F.struct(*[F.col(f"{into}.{n}").alias(n) for n in names])
+
+
 def decode_or_skip(df: DataFrame, text: str, schema: str, into: str) -> DataFrame:
     """Rows whose text is JSON of the schema, decoded; others are left out."""
-    return df.withColumn(into, F.from_json(text, schema)).filter(F.try_parse_json(text).isNotNull())
+    rows, bad, fields = _decoded(df, text, schema, into)
+    return rows.filter(~bad).withColumn(into, fields)
+
+
+def decode_all(df: DataFrame, text: str, schema: str, into: str) -> DataFrame:
+    """All rows, decoded; the first text that isn't JSON of the schema fails the whole."""
+    rows, bad, fields = _decoded(df, text, schema, into)
+    error = F.raise_error(F.concat(F.lit("not of the schema: "), F.coalesce(F.col(text), F.lit("null"))))
+    return rows.withColumn(into, F.when(bad, error).otherwise(fields))

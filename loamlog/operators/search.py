@@ -65,6 +65,36 @@ def search_stats(df: DataFrame, post: DataFrame) -> DataFrame:
     ).join(df.agg(F.count(F.lit(1)).alias("entities")))  # one row each
 
 
-def write_postings(post: DataFrame, path: str) -> None:
-    """Postings in ranges of the token, sorted, so that a lookup reads few row groups."""
-    post.repartitionByRange("token", "entity_id").sortWithinPartitions("token", "entity_id").write.parquet(path)
+def search_all_batch(post: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Many all-token queries at once. wanted: item_id, token, each once. item_id and entity_id of all matches.
+
+    Only the rarest token of each query finds candidates, and its other tokens are looked up for these: a common word
+    doesn't meet all queries that have it.
+    """
+    df = post.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    known = wanted.join(df, "token", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    rarest = known.groupBy("item_id").agg(
+        F.min_by("token", F.struct("_df", "token")).alias("token"), F.count(F.lit(1)).alias("_n"))
+    candidates = post.join(rarest, "token").select("item_id", "entity_id", "_n")
+    pairs = candidates.join(wanted, "item_id").join(post, ["entity_id", "token"], "left_semi")
+    return pairs.groupBy("item_id", "entity_id", "_n").agg(F.count(F.lit(1)).alias("_k")).filter("_k = _n").select("item_id", "entity_id")
+
+
+def contains_token(post: DataFrame, token: str, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
+    """One row: whether some entity has the token."""
+    return search_token(post, token, tokenizer).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def replaced(post: DataFrame, texts: DataFrame, id_col: str, text_col: str, tokenizer: Tokenizer = DEFAULT) -> DataFrame:
+    """Postings after some entities' texts are new; one whose text is null is removed."""
+    new = postings(texts, id_col, text_col, tokenizer)
+    ids = texts.select(F.col(id_col).alias("entity_id")).distinct()
+    return post.join(ids, "entity_id", "left_anti").unionByName(new)
+
+
+def write_postings(post: DataFrame, path: str) -> DataFrame:
+    """Postings in ranges of the token, sorted, so that a lookup reads few row groups; read back."""
+    post.repartitionByRange("token", "entity_id").sortWithinPartitions("token", "entity_id").write.option(
+        "parquet.block.size", 4 << 20
+    ).parquet(path)
+    return post.sparkSession.read.schema(post.schema).parquet(path)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordered import global_rank
 
 #: What each policy makes of a conflict.
 POLICIES = {
@@ -37,26 +36,56 @@ def new_cursor(page: DataFrame, cursor: int) -> DataFrame:
     return page.agg(F.greatest(F.coalesce(F.max("sequence"), F.lit(cursor)), F.lit(cursor)).cast("long").alias("cursor"))
 
 
-def push(ops: DataFrame, server: DataFrame, next_sequence: int) -> DataFrame:
+def append_operations(ops: DataFrame, last: int = 0) -> DataFrame:
+    """Operations numbered in order of their sequence, from the one after the last: op_id is their own count."""
+    return global_rank(ops.drop("op_id"), [F.col("sequence"), F.col("entity_id")], "_n").withColumn(
+        "op_id", (F.col("_n") + last).cast("long")
+    ).drop("_n")
+
+
+def push(
+    ops: DataFrame, server: DataFrame, next_sequence: int, cursor: int | None = None, server_cursor: int | None = None,
+    most: int | None = None,
+) -> DataFrame:
     """Outcome of pushed operations (op_id, entity_id, sequence, ...) against a server's newest (entity_id,
-    server_sequence): accepted, and the sequence that it gets.
+    server_sequence): accepted, the sequence that it gets, and why it was refused.
 
-    An operation is refused if its sequence isn't above the server's for its entity. Accepting one raises that to
-    a new sequence, which is above all that clients have, so of an entity's operations in a batch only the first
-    that is above can be accepted.
+    A push from another cursor than the server's is refused whole ('cursor'), and so is one of more than `most`
+    operations ('batch'). An operation is refused if its sequence isn't above the server's for its entity ('older').
+    Accepting one raises that to a new sequence, so of an entity's operations in a batch only the first that is above
+    can be accepted ('older'), as clients have no sequences from next_sequence on; an operation that has one all the
+    same is refused ('ahead').
     """
+    whole = None
+    if cursor is not None and cursor != server_cursor:
+        whole = "cursor"
+    elif most is not None and ops.limit(most + 1).count() > most:
+        whole = "batch"
     known = ops.join(server.select("entity_id", "server_sequence"), "entity_id", "left")
-    above = F.col("sequence") > F.coalesce("server_sequence", F.lit(-1))
+    ahead = F.col("sequence") >= next_sequence
+    above = ~ahead & (F.col("server_sequence").isNull() | (F.col("sequence") > F.col("server_sequence")))
     firsts = known.filter(above).groupBy("entity_id").agg(F.min("op_id").alias("_first"))
-    decided = known.join(firsts, "entity_id", "left").withColumn(
-        "accepted", F.coalesce(F.col("op_id") == F.col("_first"), F.lit(False))
+    fine = F.lit(whole is None) & F.coalesce(F.col("op_id") == F.col("_first"), F.lit(False))
+    decided = known.join(firsts, "entity_id", "left").withColumns({
+        "accepted": fine,
+        "reason": F.when(F.lit(whole is not None), F.lit(whole)).when(~fine, F.when(ahead, "ahead").otherwise("older")),
+    })
+    numbered = global_rank(decided.filter("accepted").select("op_id"), [F.col("op_id")], "_n").select(
+        "op_id", (F.lit(next_sequence - 1) + F.col("_n")).cast("long").alias("new_sequence")
     )
-    # A push is one client's batch, of a stated most; its accepted operations are numbered in one order.
-    number = F.row_number().over(Window.orderBy("op_id"))
-    numbered = decided.filter("accepted").select("op_id", (F.lit(next_sequence - 1) + number).cast("long").alias("new_sequence"))
     return decided.drop("_first").join(numbered, "op_id", "left")
 
 
+def conflicts(refused: DataFrame, server: DataFrame) -> DataFrame:
+    """Records of conflicts: operations (op_id, entity_id, payload) that were refused, with both sides' payloads and
+    their hashes, and the kind. server: entity_id, payload; both payloads may be null."""
+    theirs = server.select("entity_id", F.col("payload").alias("remote_payload"))
+    both = refused.select("op_id", "entity_id", F.col("payload").alias("local_payload")).join(theirs, "entity_id", "left")
+    both = both.withColumns({f"{s}_hash": F.sha2(F.col(f"{s}_payload").cast("binary"), 256) for s in ("local", "remote")})
+    kind = conflict_kind(*[F.col(f"{s}_{x}") for x in ("payload", "hash") for s in ("local", "remote")])
+    return both.withColumn("kind", kind)
+
+
 def conflict_kind(local_payload: Column, remote_payload: Column, local_hash: Column, remote_hash: Column) -> Column:
     """update_update, update_delete, create (no common past), or delete_delete."""
     both = local_payload.isNotNull() & remote_payload.isNotNull()
@@ -96,11 +125,3 @@ def apply_remote(local: DataFrame, ops: DataFrame) -> DataFrame:
     rest = [c for c in local.columns if c != "entity_id"]
     last = both.groupBy("entity_id").agg(F.max_by(F.struct(*rest), F.struct("_remote", "sequence")).alias("_v"))
     return last.select(*[F.col(c) if c == "entity_id" else F.col(f"_v.{c}").alias(c) for c in local.columns])
-
-
-def backoff(attempt: int, initial: float, factor: float, most: float, jitter: float = 0.25, rng: random.Random | None = None) -> float:
-    """Seconds before an attempt: none before the first, then growing, with some chance."""
-    if attempt <= 0:
-        return 0.0
-    base = min(initial * factor ** (attempt - 1), most)
-    return base * (1 + jitter * (rng or random).random())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, crypto
 from ..functions.tokens import Tokenizer
 from ..operators import access, conflicts, inspect, log, relational, search, sync
-from ..sources.files import read_backup, scratch_path, write_backup
+from ..sources.files import backup_info, read_backup, scratch_path, valid_backup, write_backup
 from ..sources.tables import entity_log, event_log, table
 from ..streaming import feed
 
@@ -125,7 +125,8 @@ def compact_stats(spark, sf):
 
 @query(f"WITH {CHANGES} SELECT entity_id, sequence, change_type FROM changes")
 def classify_changes(spark, sf):
-    return log.classify_changes(event_log(spark, sf)).select("entity_id", "sequence", "change_type")
+    changes = log.classify_changes(event_log(spark, sf), spread=False)
+    return changes.select("entity_id", "sequence", "change_type")
 
 
 @query(f"WITH {CHANGES} SELECT entity_id, sequence, change_type FROM changes")
@@ -172,9 +173,67 @@ def wal_recover(spark, sf):
     return log.recover(events, commits, 2500).select("event_id", "user_id", "txid", "commit_sequence")
 
 
+@query(f"""WITH {LOG} SELECT entity_id, value, sequence FROM (SELECT * FROM log WHERE sequence <= 5000
+  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sequence DESC) = 1)
+  WHERE NOT is_tombstone AND entity_id IN (1, 2, 3, 4, 150)""")
+def snapshot_get(spark, sf):
+    return log.get(event_log(spark, sf), [1, 2, 3, 4, 150], 5000).select("entity_id", "value", "sequence")
+
+
+@query(f"WITH {NEWEST} SELECT * FROM newest WHERE NOT is_tombstone ORDER BY entity_id LIMIT 25")
+def scan_bounded(spark, sf):
+    return log.scan_first(event_log(spark, sf), 25)
+
+
+@query(f"WITH {LOG} SELECT * FROM log WHERE sequence BETWEEN 301 AND 420")
+def commit_records(spark, sf):
+    return log.between(event_log(spark, sf), 301, 420)
+
+
+@query(f"""WITH {LOG}, s AS (SELECT entity_id, arg_max(event_id, event_id) AS e, arg_max(event_type, event_id) AS t FROM
+    (SELECT user_id AS entity_id, * FROM events WHERE event_id % 3 = 0) GROUP BY 1),
+  n AS (SELECT entity_id, is_tombstone AS gone FROM log
+    QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sequence DESC) = 1)
+  SELECT entity_id, CASE WHEN e % 9 = 0 AND e % 2 = 0 THEN 'delete' WHEN e % 2 = 1 THEN 'update' WHEN NOT gone THEN 'update'
+    ELSE 'insert' END AS change_type, CAST(900000000 AS BIGINT) AS sequence, t AS event_type FROM s JOIN n USING (entity_id)""")
+def write_with_op_type(spark, sf):
+    """Writes of which some are known to be updates; the others are looked up."""
+    staged = table(spark, sf, "events").filter("event_id % 3 = 0").select(
+        F.lit(1).cast("long").alias("collection_id"), F.col("user_id").alias("entity_id"), "event_type",
+        (F.col("event_id") % 18 == 0).alias("is_tombstone"), F.when(F.col("event_id") % 2 == 1, "update").alias("op_type"),
+        F.col("event_id").alias("ordinal"),
+    )
+    made = log.write_batch(event_log(spark, sf), staged, 900_000_000)
+    return made.select("entity_id", "change_type", "sequence", "event_type")
+
+
+@query(f"""WITH {LOG}, b AS (SELECT * FROM log WHERE sequence <= 7000
+    QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sequence DESC) = 1)
+  SELECT count(*) AS rows, max(sequence) AS sequence, true AS valid FROM b""")
+def backup_metadata(spark, sf):
+    path = scratch_path(spark, "backup")
+    write_backup(log.backup_records(event_log(spark, sf), 7000, True), path)
+    info = backup_info(spark, path)
+    return spark.createDataFrame([(info["rows"], info["sequence"], valid_backup(spark, path))], "rows long, sequence long, valid boolean")
+
+
 # Access by key
 
 
+@query("""SELECT v AS key, v IN (SELECT c_nationkey FROM customer) AS found FROM (VALUES (1), (7), (24), (25), (-3)) AS t(v)""")
+def contains_key(spark, sf):
+    return access.has_key(table(spark, sf, "customer"), "c_nationkey", [1, 7, 24, 25, -3])
+
+
+@query("""WITH e AS (SELECT p_name AS key, p_partkey AS entity_id FROM part WHERE p_partkey % 2 = 0),
+  n AS (SELECT p_name AS key, p_partkey AS entity_id FROM part WHERE p_partkey % 3 = 0)
+  SELECT key, entity_id FROM n WHERE EXISTS (SELECT 1 FROM e WHERE e.key = n.key AND e.entity_id <> n.entity_id)
+    OR EXISTS (SELECT 1 FROM n AS m WHERE m.key = n.key AND m.entity_id < n.entity_id)""")
+def unique_rejected(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_name").alias("key"), F.col("p_partkey").alias("entity_id"))
+    return access.rejected_inserts(part.filter("entity_id % 2 = 0"), part.filter("entity_id % 3 = 0"))
+
+
 @query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'")
 def hash_eq(spark, sf):
     return access.equal(table(spark, sf, "orders"), "o_orderpriority", "1-URGENT")
@@ -306,8 +365,19 @@ def nested_path_eq(spark, sf):
 # Full-text search
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
 def _post(spark, sf, tokenizer=search.DEFAULT):
-    return search.postings(table(spark, sf, "documents"), "doc_id", "text", tokenizer)
+    """Postings of documents as written once for each session, table and tokenizer: a search reads what it asks for."""
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, tokenizer, *sorted(docs.inputFiles()))
+    made = search.postings(docs, "doc_id", "text", tokenizer)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "postings")
+        search.write_postings(made, path)
+        _WRITTEN[key] = path
+    return spark.read.schema(made.schema).parquet(_WRITTEN[key])
 
 
 @query(f"WITH {_postings_sql()} SELECT entity_id FROM post WHERE token IN ('the', 'of', 'that') GROUP BY 1 HAVING count(*) = 3")
@@ -369,24 +439,33 @@ def fts_extra_separators(spark, sf):
        + _postings_sql() + """ SELECT item_id, entity_id FROM q JOIN post USING (token) JOIN n USING (item_id)
   GROUP BY item_id, entity_id, n HAVING count(*) = n""")
 def fts_all_batch(spark, sf):
-    """Many all-token queries at once: query tokens are joined to postings and counted."""
     wanted = search.postings(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("entity_id", "item_id")
-    sizes = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = _post(spark, sf).join(wanted, "token").groupBy("item_id", "entity_id").agg(F.count(F.lit(1)).alias("k"))
-    return hits.join(sizes, "item_id").filter("k = n").select("item_id", "entity_id")
+    return search.search_all_batch(_post(spark, sf), wanted)
 
 
-# Change feed
+@query(f"WITH {_postings_sql()} SELECT count(*) > 0 AS found FROM post WHERE token = 'license'")
+def fts_contains(spark, sf):
+    return search.contains_token(_post(spark, sf), "License")
 
 
-def _changes(spark, sf):
-    return log.classify_changes(event_log(spark, sf)).select("sequence", "collection_id", "entity_id", "change_type")
+@query(f"""WITH {_postings_sql()}, p AS (SELECT * FROM post WHERE entity_id % 5 <> 0
+    UNION ALL SELECT DISTINCT doc_id AS entity_id, unnest(['new', lower(lang)]) AS token FROM documents WHERE doc_id % 10 = 0)
+  SELECT token, count(*) AS df FROM p GROUP BY token""")
+def fts_replace(spark, sf):
+    """Some documents get another text, others are removed from the index."""
+    changed = table(spark, sf, "documents").filter("doc_id % 5 = 0").select(
+        "doc_id", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("New, "), "lang")).alias("text")
+    )
+    return search.document_frequency(search.replaced(_post(spark, sf), changed, "doc_id", "text"))
+
+
+# Change feed
 
 
 @query(f"""WITH {CHANGES} SELECT sequence, collection_id, entity_id, change_type FROM changes WHERE sequence > 3000
   ORDER BY sequence LIMIT 100""")
 def feed_poll(spark, sf):
-    return feed.poll(_changes(spark, sf), 3000, 100)
+    return feed.poll_log(event_log(spark, sf), 3000, 100).select("sequence", "collection_id", "entity_id", "change_type")
 
 
 @query("SELECT coalesce(max(event_id) + 1, 0) AS latest_sequence FROM events")
@@ -396,12 +475,32 @@ def feed_latest(spark, sf):
 
 @query(f"WITH {CHANGES} SELECT sequence, entity_id, change_type FROM changes WHERE sequence >= 9000")
 def feed_truncate(spark, sf):
-    return feed.truncate(_changes(spark, sf), 9000).select("sequence", "entity_id", "change_type")
+    return feed.since(event_log(spark, sf), 9000).select("sequence", "entity_id", "change_type")
 
 
 @query(f"WITH {CHANGES} SELECT sequence, entity_id, change_type FROM changes ORDER BY sequence DESC LIMIT 1234")
 def feed_retention(spark, sf):
-    return feed.retain(_changes(spark, sf), 1234).select("sequence", "entity_id", "change_type")
+    events = event_log(spark, sf)
+    oldest = feed.oldest_kept(events.select("sequence"), 1234)
+    return feed.since(events, oldest).select("sequence", "entity_id", "change_type")
+
+
+_BEFORE = LOG + """, b AS (SELECT *, lag(CASE WHEN NOT is_tombstone THEN sha256(props) END) OVER w AS before_hash,
+    lag(is_tombstone) OVER w AS gone FROM log WINDOW w AS (PARTITION BY entity_id ORDER BY sequence))"""
+
+
+@query(f"""WITH {_BEFORE} SELECT entity_id, sequence, before_hash, CASE WHEN NOT is_tombstone THEN props END AS after,
+    CASE WHEN is_tombstone THEN 'delete' WHEN coalesce(gone, true) THEN 'insert' ELSE 'update' END AS change_type FROM b""")
+def feed_with_before(spark, sf):
+    events = event_log(spark, sf).drop("event_type", "value")
+    return feed.with_before(events, "props").select("entity_id", "sequence", "before_hash", "after", "change_type")
+
+
+@query("SELECT event_id, user_id, 500 + dense_rank() OVER (ORDER BY event_id // 7) AS sequence FROM events")
+def feed_batch_sequence(spark, sf):
+    """Events of one commit have one sequence."""
+    events = table(spark, sf, "events").select("event_id", "user_id", F.expr("event_id div 7").alias("batch"))
+    return feed.number_batches(events, "batch", 500).drop("batch")
 
 
 @query(f"WITH {CHANGES} SELECT entity_id, sequence, change_type FROM changes")
@@ -539,25 +638,80 @@ def resolve_policy(spark, sf):
 def apply_remote(spark, sf):
     client, server = _sides(spark, sf)
     local = log.latest(client).select("entity_id", "sequence", "is_tombstone", F.col("props").alias("payload"))
-    ops = sync.operations(log.classify_changes(server)).filter("sequence > 5000").withColumn("payload", F.col("props"))
+    ops = sync.operations(feed.since(server, 5001)).withColumn("payload", F.col("props"))
     return sync.apply_remote(local, ops).select("entity_id", "sequence", "is_tombstone")
 
 
 @query(f"""WITH {CHANGES} SELECT sequence AS op_id, entity_id, CASE WHEN change_type = 'delete' THEN 'delete' ELSE 'put' END
   AS op_type FROM changes WHERE sequence > 8000""")
 def oplog_pending(spark, sf):
-    return sync.pending(sync.operations(_changes(spark, sf)), 8000).select("op_id", "entity_id", "op_type")
+    return sync.operations(feed.since(event_log(spark, sf), 8001)).select("op_id", "entity_id", "op_type")
 
 
 @query(f"WITH {LOG} SELECT count(*) AS kept, min(sequence) AS first_op FROM log WHERE sequence > 6000")
 def oplog_compact(spark, sf):
-    ops = sync.operations(_changes(spark, sf))
+    ops = event_log(spark, sf).withColumn("op_id", F.col("sequence"))
     return sync.compact_oplog(ops, 6000).agg(F.count(F.lit(1)).alias("kept"), F.min("op_id").alias("first_op"))
 
 
+@query(f"""WITH {CHANGES} SELECT 40 + row_number() OVER (ORDER BY sequence) AS op_id, sequence, entity_id,
+  CASE WHEN change_type = 'delete' THEN 'delete' ELSE 'put' END AS op_type FROM changes WHERE sequence > 7000""")
+def oplog_append(spark, sf):
+    """Operations are counted for themselves, after the 40 that there are."""
+    ops = sync.operations(feed.since(event_log(spark, sf), 7001))
+    return sync.append_operations(ops, 40).select("op_id", "sequence", "entity_id", "op_type")
+
+
+@query(f"""WITH {LOG} SELECT sequence AS op_id, entity_id, false AS accepted, CAST(NULL AS BIGINT) AS new_sequence, 'cursor' AS reason
+  FROM log WHERE sequence % 2 = 0 AND sequence > 9900""")
+def push_stale_cursor(spark, sf):
+    client, server = _sides(spark, sf)
+    ops = client.filter("sequence > 9900").select(F.col("sequence").alias("op_id"), "entity_id", "sequence")
+    newest = server.groupBy("entity_id").agg(F.max("sequence").alias("server_sequence"))
+    pushed = sync.push(ops, newest, 200_000_000, cursor=41, server_cursor=42)
+    return pushed.select("op_id", "entity_id", "accepted", "new_sequence", "reason")
+
+
+@query(f"""WITH {LOG} SELECT sequence AS op_id, entity_id, false AS accepted, 'batch' AS reason
+  FROM log WHERE sequence % 2 = 0 AND sequence BETWEEN 9000 AND 9400""")
+def push_too_many(spark, sf):
+    client, server = _sides(spark, sf)
+    ops = client.filter("sequence between 9000 and 9400").select(F.col("sequence").alias("op_id"), "entity_id", "sequence")
+    newest = server.groupBy("entity_id").agg(F.max("sequence").alias("server_sequence"))
+    return sync.push(ops, newest, 200_000_000, 42, 42, most=100).select("op_id", "entity_id", "accepted", "reason")
+
+
+@query(f"""WITH {LOG}, s AS (SELECT * FROM log WHERE sequence % 2 = 1
+    QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sequence DESC) = 1),
+  c AS (SELECT l.sequence AS op_id, l.entity_id, CASE WHEN NOT l.is_tombstone THEN l.props END AS local_payload,
+      CASE WHEN NOT s.is_tombstone THEN s.props END AS remote_payload
+    FROM log l JOIN s USING (entity_id) WHERE l.sequence % 2 = 0 AND l.sequence <= s.sequence)
+  SELECT *, sha256(local_payload) AS local_hash, sha256(remote_payload) AS remote_hash,
+    CASE WHEN local_payload IS NOT NULL AND remote_payload IS NOT NULL THEN 'update_update'
+      WHEN local_payload IS NOT NULL OR remote_payload IS NOT NULL THEN 'update_delete' ELSE 'delete_delete' END AS kind
+  FROM c""")
+def conflict_records(spark, sf):
+    client, server = _sides(spark, sf)
+    payload = F.when(~F.col("is_tombstone"), F.col("props")).alias("payload")
+    newest = log.latest(server).select("entity_id", F.col("sequence").alias("server_sequence"), payload)
+    ops = client.select(F.col("sequence").alias("op_id"), "entity_id", "sequence", payload)
+    pushed = sync.push(ops, newest, 200_000_000)
+    refused = pushed.filter("reason = 'older' and sequence <= server_sequence")
+    return sync.conflicts(refused, newest)
+
+
 # Inspection
 
 
+@query("SELECT event_id FROM events WHERE event_id % 11 = 0 AND length(props) > 0")
+def verify_checksums(spark, sf):
+    """Records whose payload was changed after its checksum was taken."""
+    events = table(spark, sf, "events")
+    damaged = F.when(F.col("event_id") % 11 == 0, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    held = events.withColumn("crc", crypto.crc32(F.col("props"))).withColumn("props", damaged)
+    return inspect.verify(held, "props", "crc").select("event_id")
+
+
 @query("""WITH l AS (SELECT event_type, user_id, event_id, value < 10 AS gone, strlen(props) AS b FROM events),
   e AS (SELECT event_type, user_id, count(*) AS n, sum(CAST(gone AS BIGINT)) AS t, sum(b) AS b, arg_max(gone, event_id) AS g
     FROM l GROUP BY 1, 2)
@@ -677,9 +831,49 @@ def decode_or_skip(spark, sf):
     return relational.decode_or_skip(table(spark, sf, "events"), "props", "k long", "p").select("event_id", F.col("p.k").alias("k"))
 
 
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 > 1""")
+def decode_skips_bad(spark, sf):
+    """One text in five isn't JSON, and one has another type where a number should be."""
+    n = F.col("event_id") % 5
+    text = F.when(n == 0, F.substring("props", 2, 99)).when(n == 1, F.lit('{"k": "none"}')).otherwise(F.col("props"))
+    rows = table(spark, sf, "events").withColumn("props", text)
+    return relational.decode_or_skip(rows, "props", "k long", "p").select("event_id", F.col("p.k").alias("k"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def typed_scan(spark, sf):
+    return relational.decode_all(table(spark, sf, "events"), "props", "k long", "p").select("event_id", F.col("p.k").alias("k"))
+
+
 # Codec and encryption
 
 
+@query("""WITH k AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS v FROM orders)
+  SELECT o_orderkey, CASE WHEN v IS NULL THEN 'F6' WHEN v < 65536 THEN printf('19%04X', v) WHEN v < 4294967296 THEN printf('1A%08X', v)
+    END AS encoded FROM k""")
+def encode_nullable_integers(spark, sf):
+    cents = F.when(F.col("o_orderkey") % 3 > 0, relational.cents(F.col("o_totalprice")))
+    return table(spark, sf, "orders").select("o_orderkey", F.hex(codec.encode_integers(cents)).alias("encoded"))
+
+
+@query("""SELECT n_nationkey, 'A2' || '66' || hex(encode('n_name')) || printf('%02X', 96 + strlen(n_name)) || hex(encode(n_name))
+  || '6B' || hex(encode('n_nationkey')) || CASE WHEN n_nationkey < 24 THEN printf('%02X', n_nationkey)
+    ELSE printf('18%02X', n_nationkey) END AS encoded FROM nation""")
+def encode_maps(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    made = codec.encode_as(F.struct("n_nationkey", "n_name"), n.schema)
+    return n.select(F.col("n_nationkey"), F.hex(made).alias("encoded"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN upper(md5(CAST(doc_id AS VARCHAR))) END AS id FROM documents""")
+def entity_ids(spark, sf):
+    """16 bytes of a UUID's text; a text that is none has no id."""
+    h = F.md5(F.col("doc_id").cast("string"))
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    text = F.when(F.col("doc_id") % 7 > 0, F.concat_ws("-", *parts)).otherwise(F.lit("no-id"))
+    return table(spark, sf, "documents").select("doc_id", F.hex(crypto.entity_id(text)).alias("id"))
+
+
 @query("""WITH k AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer),
   a AS (SELECT *, CASE WHEN v < 0 THEN -1 - v ELSE v END AS n, CASE WHEN v < 0 THEN 32 ELSE 0 END AS m FROM k)
   SELECT c_custkey, CASE WHEN n < 24 THEN printf('%02X', m + n) WHEN n < 256 THEN printf('%02X%02X', m + 24, n)
@@ -688,14 +882,14 @@ def decode_or_skip(spark, sf):
     CASE WHEN n < 24 THEN 1 WHEN n < 256 THEN 2 WHEN n < 65536 THEN 3 WHEN n < 4294967296 THEN 5 ELSE 9 END AS bytes FROM a""")
 def encode_integers(spark, sf):
     v = table(spark, sf, "customer").select("c_custkey", relational.cents(F.col("c_acctbal")).alias("v"))
-    return v.select("c_custkey", F.hex(codec.encode_integers("v")).alias("encoded"), codec.encoded_length(F.col("v")).alias("bytes"))
+    return v.select("c_custkey", F.hex(codec.encode_integers(F.col("v"))).alias("encoded"), codec.encoded_length(F.col("v")).alias("bytes"))
 
 
 @query("""SELECT c_custkey, '{"c_name":"' || c_name || '","c_custkey":' || c_custkey || '}' AS decoded FROM customer""")
 def encode_round_trip(spark, sf):
     """Rows as canonical maps and back: keys come out shortest first, then by bytes."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return c.select("c_custkey", codec.decode_to_json(codec.encode_rows(F.struct("c_custkey", "c_name"))).alias("decoded"))
+    return c.select("c_custkey", codec.decode_to_json(codec.encode_as(F.struct("c_custkey", "c_name"), c.schema)).alias("decoded"))
 
 
 @query("SELECT doc_id, sha256(text) AS hash FROM documents")

@@ -69,9 +69,9 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, content: dict, replace: bool = False) -> None:
-        """Whole or not at all: written aside, then renamed. Without replace, an existing file is an error."""
-        if self.exists(name) and not replace:
+    def write(self, name: str, content: dict) -> None:
+        """Whole or not at all: written aside, then renamed. An existing file is an error."""
+        if self.exists(name):
             raise FileExistsError(name)
         aside = f"{name}.{uuid.uuid4().hex}.tmp"
         stream = self.fs.create(self._path(aside), True)
@@ -79,8 +79,7 @@ class Files:
             stream.write(json.dumps(content).encode())
         finally:
             stream.close()
-        if replace and self.exists(name):
-            self.fs.delete(self._path(name), False)
+        self.fs.mkdirs(self._path(name).getParent())
         if not self.fs.rename(self._path(aside), self._path(name)):
             self.fs.delete(self._path(aside), False)
             raise FileExistsError(name)

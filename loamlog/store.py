@@ -1,8 +1,9 @@
 """EntityStore: collections of entities on Parquet, with atomic commits.
 
-A commit writes its records under records/commit=N, then a marker commits/N.json by an atomic rename that fails if
-the marker exists; readers see the records of marked commits alone. So a commit is seen whole or not at all, a lost
-driver leaves nothing but unread files, and of two writers that race for one number one fails and can try again.
+A commit writes its records as Parquet, then a marker commits/N.json by an atomic rename that fails if the marker
+exists; readers see the records of marked commits alone. So a commit is seen whole or not at all, a lost driver leaves
+nothing but unread files, and of two writers that race for one number one fails and can try again. A compaction is one
+file too, compactions/N.json, which stands for all commits up to N; metadata has numbered versions, the newest counts.
 """
 
 from __future__ import annotations
@@ -87,18 +88,29 @@ class EntityStore:
         self.stats: Counter[str] = Counter()
         self._indexes: dict[tuple[int, str, str], bool] = {}
         self._search: dict[tuple[int, str], Tokenizer] = {}
-        if not self.files.exists("manifest.json"):
-            self.files.write("manifest.json", {"collections": {}, "indexes": [], "schema_version": 0})
+        if not self.files.names("manifest"):
+            self.files.write("manifest/0.json", {"collections": {}, "indexes": [], "schema_version": 0})
         for c, f, kind, unique in self._manifest()["indexes"]:
             self._indexes[c, f, kind] = unique
 
     # Metadata
 
     def _manifest(self) -> dict:
-        return self.files.read("manifest.json")
+        return self.files.read(f"manifest/{self._newest('manifest')}.json")
 
     def _set(self, **changes) -> None:
-        self.files.write("manifest.json", self._manifest() | changes, replace=True)
+        """A new version; an error if another writer was first. Older ones are removed."""
+        last = self._newest("manifest")
+        self.files.write(f"manifest/{last + 1}.json", self._manifest() | changes)
+        for n in self._numbers("manifest"):
+            if n <= last:
+                self.files.delete(f"manifest/{n}.json")
+
+    def _numbers(self, folder: str) -> list[int]:
+        return sorted(int(n[:-5]) for n in self.files.names(folder) if n.endswith(".json"))
+
+    def _newest(self, folder: str) -> int:
+        return max(self._numbers(folder), default=0)
 
     def create_collection(self, name: str) -> int:
         """The collection's id; a new one if there is none of this name."""
@@ -129,17 +141,21 @@ class EntityStore:
 
     @property
     def commits(self) -> list[int]:
-        return sorted(int(n[:-5]) for n in self.files.names("commits") if n.endswith(".json"))
+        """Those that no compaction stands for."""
+        last = self._newest("compactions")
+        return [n for n in self._numbers("commits") if n > last]
 
     @property
     def committed_sequence(self) -> int:
-        return max(self.commits, default=0)
+        return max(self.commits, default=self._newest("compactions"))
 
     # Reading
 
     def records(self) -> DataFrame:
         """All versions of marked commits: one file listing, and a partition filter."""
-        parts = [f"{self.path}/{self.files.read(f'commits/{n}.json')['records']}" for n in self.commits]
+        last = self._newest("compactions")
+        markers = [f"compactions/{last}.json"] * bool(last) + [f"commits/{n}.json" for n in self.commits]
+        parts = [f"{self.path}/{self.files.read(m)['records']}" for m in markers]
         if not parts:
             return self.spark.createDataFrame([], RECORDS)
         return self.spark.read.schema(RECORDS).parquet(*dict.fromkeys(parts))
@@ -184,7 +200,8 @@ class EntityStore:
 
     def commit_records(self, number: int) -> DataFrame:
         """What one commit wrote."""
-        place = self.files.read(f"commits/{number}.json")["records"]
+        marker = f"commits/{number}.json"
+        place = self.files.read(marker if self.files.exists(marker) else f"compactions/{number}.json")["records"]
         return self.spark.read.schema(RECORDS).parquet(f"{self.path}/{place}")
 
     def history(self, collection: str, entity_id: str) -> DataFrame:
@@ -218,16 +235,21 @@ class EntityStore:
         return self.committed_sequence
 
     def _check(self, t: Transaction) -> None:
-        for (cid, entity), seen in t._reads.items():
-            rows = self.records().filter((F.col("collection_id") == cid) & (F.col("entity_id") == entity))
-            row = log.scan(rows).first()
-            if (row["payload"] if row else None) != seen and (cid, entity) in t._writes:
-                self.stats["transactions_aborted"] += 1
-                raise ConflictError(f"{cid}/{entity}")
+        """Against all commits there are; a later one takes the number that this one is about to take."""
+        read = [(c, e, p) for (c, e), p in t._reads.items() if (c, e) in t._writes]
+        if not read:
+            return
+        seen = self.spark.createDataFrame(read, "collection_id long, entity_id string, _seen string")
+        keys = ["collection_id", "entity_id"]
+        now = log.scan(self.records().join(F.broadcast(seen.select(*keys)), keys, "left_semi")).select(*keys, "payload")
+        bad = seen.join(now, keys, "left").filter(~F.col("_seen").eqNullSafe(F.col("payload"))).first()
+        if bad:
+            self.stats["transactions_aborted"] += 1
+            raise ConflictError(f"{bad[0]}/{bad[1]}")
 
     def _commit(self, t: Transaction) -> int:
-        self._check(t)
         number = self.committed_sequence + 1
+        self._check(t)
         staged = t._staged()
         before = log.latest(self.records()).select(
             "collection_id", "entity_id", F.col("is_tombstone").alias("_gone")
@@ -337,10 +359,10 @@ class EntityStore:
             return 0
         place = f"records/compacted={number}-{time.time_ns()}"
         log.compact(self.records(), keep_tombstones).write.parquet(f"{self.path}/{place}")
-        old = [n for n in self.commits if n != number]
-        self.files.write(f"commits/{number}.json", {"records": place}, replace=True)
-        for n in old:
-            self.files.delete(f"commits/{n}.json")
+        self.files.write(f"compactions/{number}.json", {"records": place})
+        for n in self._numbers("commits"):  # none of them is read any more
+            if n <= number:
+                self.files.delete(f"commits/{n}.json")
         self.stats["compactions"] += 1
         return number
 

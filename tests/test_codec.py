@@ -1,7 +1,9 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from loamlog.functions import codec
 from loamlog.functions.codec import CodecError, canonical_key, decode, encode
 
 VALUES = st.recursive(
@@ -44,3 +46,18 @@ def test_undefined_reads_as_null():
 
 def test_order():
     assert sorted(["b", "aa", 1, -1, -2, None, True, b"x"], key=canonical_key) == [1, -1, -2, b"x", "b", "aa", True, None]
+
+
+def test_columns_are_encoded_like_values(spark):
+    rows = [(2**53 + 1, None, "é", b"\x00\xff", [1, None, -70000], True, {"bb": 1, "a": -2}), (None, 5, None, None, None, None, None),
+            (-(2**63), -1, "", b"", [], False, {}), (23, 24, "x" * 300, b"y", [256, 65536, 2**32], True, {"": None})]
+    schema = "long_field long, i int, t string, b binary, l array<long>, o boolean, m map<string,long>"
+    df = spark.createDataFrame(rows, schema)
+    row = F.struct(*df.columns)
+    got = df.select(codec.encode_integers(F.col("long_field")).alias("x"), codec.encode_as(row, df.schema).alias("r")).collect()
+    names = df.columns
+    for r, g in zip(rows, got, strict=True):
+        assert bytes(g["x"]) == codec.encode(r[0])
+        assert bytes(g["r"]) == codec.encode(dict(zip(names, r, strict=True)))
+    with pytest.raises(codec.CodecError):
+        codec.encode_as(F.lit(1.5), spark.range(1).select(F.lit(1.5)).schema[0].dataType)

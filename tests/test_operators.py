@@ -122,13 +122,6 @@ def test_apply_twice(spark):
     assert rows_of(sync.apply_remote(once, ops).fillna("-")) == rows_of(once.fillna("-"))
 
 
-def test_backoff():
-    rng = random.Random(1)
-    assert sync.backoff(0, 1, 2, 10) == 0
-    for n, base in ((1, 1), (2, 2), (3, 4), (9, 10)):
-        assert base <= sync.backoff(n, 1, 2, 10, rng=rng) <= base * 1.25
-
-
 def test_retention(spark):
     df = spark.range(1, 200_001).select(F.col("id").alias("sequence"))
     assert feed.retain(df, 70_000).agg(F.min("sequence"), F.count("*")).first()[:] == (130_001, 70_000)

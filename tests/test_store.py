@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from loamlog.functions.tokens import Tokenizer
 from loamlog.migrations import Registry
-from loamlog.replication import Replica
 from loamlog.sources.files import BackupError, read_backup
 from loamlog.store import ConflictError, EntityStore, ScanForbidden
 
@@ -162,41 +161,48 @@ def test_migrations(store):
     assert store.schema_version == 2
 
 
-@pytest.fixture
-def pair(spark, tmp_path):
-    stores = [EntityStore(spark, str(tmp_path / n)) for n in ("local", "remote")]
-    for s in stores:
-        s.create_collection("notes")
-    return stores
-
-
-def test_replication(pair):
-    local, remote = pair
-    local.put("notes", "1", note("l"))
-    remote.put("notes", "2", note("r"))
-    remote.create_collection("more")
-    remote.put("more", "9", note("m"))
-    first = Replica(local, remote).run()
-    assert (first.pulled, first.pushed, first.conflicts) == (2, 1, [])
-    for s in pair:
-        assert {r["entity_id"] for r in s.scan("notes").collect()} == {"1", "2"} and s.get("more", "9") == note("m")
-    again = Replica(local, remote).run()
-    assert (again.pulled, again.pushed) == (0, 0)
-    local.delete("notes", "2")
-    assert Replica(local, remote).run().pushed == 1 and not remote.exists("notes", "2")
-
-
-@pytest.mark.parametrize(("policy", "title"), [("server_wins", "r"), ("last_write_wins", "r"), ("client_wins", "l"), ("manual", None)])
-def test_replication_conflicts(pair, policy, title):
-    local, remote = pair
-    local.put("notes", "1", note("l"))
-    remote.put("notes", "1", note("r"))
-    out = Replica(local, remote, policy).run()
-    assert [c[1] for c in out.conflicts] == ["update_update"]
-    if title is None:
-        assert out.stopped and local.get("notes", "1") == note("l") and remote.get("notes", "1") == note("r")
-    else:
-        assert local.get("notes", "1") == remote.get("notes", "1") == note(title)
+def test_commit_in_between_is_not_overwritten(store, monkeypatch):
+    store.put("notes", "1", note("a"))
+    t = store.begin()
+    t.get("notes", "1")
+    t.put("notes", "1", note("mine"))
+    check = store._check
+
+    def late(x):
+        monkeypatch.setattr(store, "_check", check)
+        check(x)
+        EntityStore(store.spark, store.path).put("notes", "1", note("theirs"))
+
+    monkeypatch.setattr(store, "_check", late)
+    with pytest.raises(FileExistsError):
+        t.commit()
+    assert store.get("notes", "1") == note("theirs")
+
+
+def test_interrupted_compaction_brings_nothing_back(store, monkeypatch):
+    store.put("notes", "1", note("a"))
+    store.delete("notes", "1")
+    store.put("notes", "2", note("b"))
+
+    def stop(name):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store.files, "delete", stop)
+    with pytest.raises(KeyboardInterrupt):
+        store.compact()
+    again = EntityStore(store.spark, store.path)
+    assert [r["entity_id"] for r in again.scan("notes").collect()] == ["2"] and again.committed_sequence == 3
+    assert again.put("notes", "3", note("c")) == 4 and again.count("notes") == 2
+
+
+def test_interrupted_change_of_metadata(store, monkeypatch):
+    def stop(name):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store.files, "delete", stop)
+    with pytest.raises(KeyboardInterrupt):
+        store.create_collection("more")
+    assert EntityStore(store.spark, store.path).collections() == {"notes": 1, "more": 2}
 
 
 def test_more_reads(store):
