@@ -87,10 +87,11 @@ BROADCAST_BYTES, ROW_BYTES = 16 << 20, 32
 
 
 def join_rows(
-    rows: DataFrame, wanted: DataFrame, on: str, more: Column | None = None, how: str = "inner"
+    rows: DataFrame, wanted: DataFrame, on: str, more: Column | None = None, how: str = "inner",
+    most: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """rows joined to wanted by a short key; wanted is broadcast if it is small, which is counted before. more: bytes
-    of a row of wanted besides ROW_BYTES."""
+    of a row of wanted besides ROW_BYTES. most: bytes that are broadcast at most."""
     size = F.lit(ROW_BYTES).cast("long") + (more if more is not None else F.lit(0))
-    few = (wanted.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+    few = (wanted.agg(F.sum(size)).first()[0] or 0) <= most
     return rows.join(F.broadcast(wanted) if few else wanted, on, how)
