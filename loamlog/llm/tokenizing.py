@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces whose ids a worker remembers, at most, in each of two generations; longer pieces aren't.
-REMEMBERED, LENGTH = 100_000, 48
+REMEMBERED, LENGTH = 200_000, 48
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A single space between two characters that aren't white space: a new piece always starts there.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")

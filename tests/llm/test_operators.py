@@ -187,6 +187,16 @@ def test_encoder_forgets(monkeypatch):
     assert len(e.seen) <= 5
 
 
+def test_encoder_remembers_a_workers_words():
+    """The words that a worker meets are encoded once, and not again at each turn of the generations."""
+    e, calls = tokenizing.Encoder(token_files.default_tokenizer()), []
+    text = " ".join("".join("abcdefghij"[int(d)] for d in str(i)) for i in range(100_000, 250_000))
+    first = e.ids(text)
+    tokenize = e.seen.tokenize
+    e.seen.tokenize = lambda piece: calls.append(piece) or tokenize(piece)
+    assert e.ids(text).tolist() == first.tolist() and not calls
+
+
 def plain_sections(text, rule):
     t = tokenizer()
     sizes = tokenizing.token_bytes(token_files.default_tokenizer())
