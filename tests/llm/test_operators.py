@@ -481,6 +481,28 @@ def test_passages_whose_parts_are_first_elsewhere(make):
     assert found >= 0.98 * len(pairs)
 
 
+@pytest.mark.parametrize("complete", [False, True])
+def test_passages_whose_seeds_are_all_frequent(make, complete):
+    """Pairs share 60 words of which only a line of 20 has seeds in common, as the rest is edited, and many texts have
+    that line first elsewhere: only the complete way compares the two."""
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for _ in range(12):
+        line = words(rng, 20, 10**9)
+        alone = [" ".join([*words(rng, 40, 10**9), *line, *words(rng, 40, 10**9)]) for _ in range(8)]
+        rest = words(rng, 45, 10**9)
+        near = [w if i % 6 != 5 else f"x{rng.randrange(10**9)}" for i, w in enumerate(rest)]
+        both = [" ".join([*words(rng, 40, 10**9), *line, *part, *words(rng, 40, 10**9)]) for part in (rest, near)]
+        pairs.append((len(texts) + 9, len(texts) + 8))
+        texts += alone + both
+    rows = substring.repeated_passages(make(texts), complete=complete).collect()
+    got = {(r["doc_id"], r["other_id"]) for r in rows}
+    assert got <= set(pairs)
+    seeded = [substring.seeds(substring.word_hashes(word_bytes(t)))[0].tolist() for t in texts]
+    want = {(a, b) for a, b in pairs if set(seeded[a]) & set(seeded[b])}
+    assert len(want) >= 9 and (got == want) == complete
+
+
 def test_each_copy_within_a_text_is_found(make):
     rng = random.Random(5)
     passage = words(rng, 60, 10**9)
