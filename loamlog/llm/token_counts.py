@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .token_files import default_tokenizer
-from .tokenizing import encoder, token_bytes
+from .tokenizing import chunks, encoder, token_bytes
 
 #: To which section a token belongs that stands in several: the one with most of its bytes, of equals the first;
 #: or that of its first or last byte.
@@ -51,9 +51,11 @@ def attribute(lengths: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndar
 
 def _counter(path: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sizes = encoder(path).ids, token_bytes(path)
-        for batch in batches:
+        encode, sizes = encoder(path).lists, token_bytes(path)
+        for batch in chunks(batches, 1):
             totals, crossings, lists = [], [], []
+            encoded = encode(batch.column(1))
+            values, starts = encoded.values.to_numpy(), encoded.offsets.to_numpy()
             for k, value in enumerate(batch.column(1)):
                 text = value.as_py() or ""
                 raw = text.encode("utf-8", "surrogatepass")
@@ -61,7 +63,7 @@ def _counter(path: str, rule: str):
                 if batch.num_columns == 3:
                     given = batch.column(2)[k].as_py()
                     ends = np.cumsum([len((x or "").encode("utf-8", "surrogatepass")) for x in given], dtype="int64")
-                ids = encode(text)
+                ids = values[starts[k] : starts[k + 1]]
                 counts, crossing = attribute(sizes[ids], ends, rule)
                 totals.append(len(ids))
                 crossings.append(crossing)

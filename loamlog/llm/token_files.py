@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import global_prefix, scratch_path, small_batches, write_table
-from .tokenizing import encoder
+from .tokenizing import chunks, encoder
 
 END_ID = 2
 #: Bytes of a row group before encoding, of a page, and of a dictionary: one row group's ids fit a dictionary.
@@ -28,22 +28,16 @@ def default_tokenizer() -> str:
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
-        end = np.array([end_id], dtype="<i4")
-        for batch in batches:
-            start = 0
-            while start < batch.num_rows:  # pieces of some MB of text
-                size, stop = 0, start
-                pieces, offsets = [], [0]
-                while stop < batch.num_rows and size < 1 << 20:
-                    pieces += [encode(batch.column(1)[stop].as_py()), end]
-                    size += len(pieces[-2]) + 1
-                    offsets.append(size)
-                    stop += 1
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(pieces)))
-                counts = pa.array(np.diff(offsets), pa.int64())
+        lists = encoder(path).lists
+        for batch in chunks(batches, 1):
+            ids = lists(batch.column(1), end_id)
+            ends, start = ids.offsets.to_numpy(), 0
+            while start < batch.num_rows:  # pieces of some MB
+                stop = max(int(np.searchsorted(ends, ends[start] + (1 << 20), side="right")) - 1, start + 1)
+                counts = pa.array(np.diff(ends[start : stop + 1]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), counts, lists], names=["doc_id", "n_tokens", "ids"]
+                    [batch.column(0).slice(start, stop - start), counts, ids.slice(start, stop - start)],
+                    names=["doc_id", "n_tokens", "ids"],
                 )
                 start = stop
 

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces whose ids a worker remembers, at most, in each of two generations; longer pieces aren't.
 REMEMBERED, LENGTH = 200_000, 48
+#: Distinct pieces whose ids are kept from one chunk of texts to the next, at most; words in one call of the model.
+KEPT, TOGETHER = 600_000, 250
+#: Bytes of a chunk of texts, which has one text at least, and of a text that is encoded with others at most.
+CHUNK, TEXT = 8 << 20, 256 << 20
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A single space between two characters that aren't white space: a new piece always starts there.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = re.compile(r"\s")
+#: Letters of any Unicode version: Latin, Greek, Cyrillic, Hebrew, Arabic, kana, Han, Hangul. Others are encoded singly.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0388-\u038a\u038e-\u03a1\u03a3-\u03ce\u0400-\u0481" \
+    "\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: Pieces for the model alone: letters and then perhaps marks, perhaps after a line feed.
+_WORD = f"^\\n?[{_LETTERS}]+[{re.escape(_MARKS)}]*$"
+_TAIL = re.compile(f"([{re.escape(_MARKS)}]+)\x01")
+#: Bytes that UTF-8 doesn't have: the end of a piece and a cut within it, which are written as 1 and 2 before.
+_END, _CUT = 0xFE, 0xFF
 
 
 def _byte_characters() -> dict[int, int]:
@@ -23,6 +39,10 @@ def _byte_characters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(others)}
 
 
+#: The same as a table without gaps, at which translate() is faster, with the bytes 1 and 2 as _END and _CUT.
+_FORMS = "".join(chr(_byte_characters().get(b, b)) for b in [0, _END, _CUT, *range(3, 256)])
+
+
 class _Spaces(Exception):
     """A piece that begins or ends with white space, so that its neighbours may change its ids."""
 
@@ -71,6 +91,39 @@ class _Seen(dict):
         return ids
 
 
+class _Known:
+    """Ids of pieces after a space as Arrow arrays, which take a third of the memory of a dict's objects. Those used
+    last are kept."""
+
+    def __init__(self, encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]):
+        self.encode, self.turn = encode, 0
+        self.pieces, self.used = pa.array([], pa.string()), np.zeros(0, dtype="i4")
+        self.counts, self.flat = np.zeros(0, dtype="i4"), np.zeros(0, dtype="<i4")
+
+    def __call__(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct pieces: where each stands in the counts, these, and all ids. A count is -1 for a piece whose
+        neighbours may change its ids; such aren't kept."""
+        self.turn += 1
+        place = pc.index_in(pieces, self.pieces)
+        new = pieces.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().copy()
+        self.used[place[place >= 0]] = self.turn
+        place[place < 0] = len(self.used) + np.arange(len(new))
+        counts, flat = self.encode(new)
+        all_counts, all_flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
+        short = (counts >= 0) & (pc.binary_length(new).to_numpy() <= LENGTH)
+        self.pieces = pa.concat_arrays([self.pieces, new])
+        self.used = np.concatenate([self.used, np.full(len(new), self.turn, dtype="i4")])
+        keep = np.concatenate([np.ones(len(self.counts), dtype=bool), short])
+        self.counts, self.flat = all_counts, all_flat
+        if keep.sum() > KEPT:  # half of them go, and more of those that were used as long ago as the last of these
+            keep &= self.used > np.partition(self.used[keep], -(KEPT // 2 + 1))[-(KEPT // 2 + 1)]
+        if not keep.all():
+            self.flat = all_flat[np.repeat(keep, np.maximum(all_counts, 0))]
+            self.pieces, self.used, self.counts = self.pieces.filter(pa.array(keep)), self.used[keep], all_counts[keep]
+        return place, all_counts, all_flat
+
+
 class Encoder:
     """Token ids of whole texts by a file of the tokenizers library, for byte-level BPE.
 
@@ -84,9 +137,22 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.first = _Seen(self.tokenizer, "")
         self.seen = _Seen(self.tokenizer, " ", self.first)
+        self.known = _Known(self._pieces)
+        model = self.tokenizer.model
+        self.words, marks = Tokenizer(model), [_FORMS[1], _FORMS[2]]
+        self.end, self.cut = (model.token_to_id(x) for x in marks)
+        # Words can be encoded together if no other token has the bytes between them, so that no merge goes over these.
+        odd = ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")
+        added = [t.content.rstrip(_MARKS) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.together = (
+            sorted(t for t in self.words.get_vocab() if any(x in t for x in marks)) == sorted(marks)
+            and not any(getattr(model, x, None) for x in odd)
+            and not any(x == "" or x.isalpha() for x in added)
+        )
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -99,11 +165,114 @@ class Encoder:
             found = [self._piece(self.first, head), *[self._piece(self.seen, x) for x in rest]]
         return np.frombuffer(b"".join(found), dtype="<i4")
 
+    def lists(self, texts: pa.StringArray, end_id: int | None = None) -> pa.ListArray:
+        """Ids of each text, with end_id after them if given; null is empty. The same as ids(), for a chunk at a time:
+        each distinct piece is looked up once, and the new ones are encoded by few calls of the model."""
+        if not len(texts):
+            return pa.array([], pa.list_(pa.int32()))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        long = pc.greater(pc.binary_length(texts), TEXT)
+        plain = pc.if_else(long, "", texts)
+        cut = pc.replace_substring(pc.replace_substring(plain, "\n", " \n"), "\n \n", "\n\n")
+        cut = pc.split_pattern(cut, " ")
+        offsets, pieces = cut.offsets.to_numpy(), cut.values
+        found = pieces.dictionary_encode()
+        place, counts, flat = self.known(found.dictionary)
+        codes = place[found.indices.to_numpy()]
+        starts = offsets[:-1]
+        # What isn't a piece after a space has an entry of its own: heads, whole texts, the end.
+        more: list[bytes] = []
+        entries: dict[str, int] = {}
+        whole = long.to_numpy(zero_copy_only=False).copy()
+        for k, head in enumerate(pieces.take(pa.array(starts)).to_pylist()):
+            if head not in entries:
+                try:
+                    more.append(self.first[head] if head else b"")
+                    entries[head] = len(counts) + len(more) - 1
+                except _Spaces:
+                    entries[head] = -1
+            codes[starts[k]] = entries[head]
+            whole[k] |= entries[head] < 0 or not head and offsets[k + 1] - starts[k] > 1
+        odd = counts < 0
+        if odd.any():
+            at = np.flatnonzero(np.append(odd, np.zeros(len(more), dtype=bool))[codes])
+            whole[np.searchsorted(offsets, at, side="right") - 1] = True
+        sizes = np.diff(offsets)
+        if whole.any():
+            for k in np.flatnonzero(whole).tolist():
+                more.append(self.ids(texts[k].as_py()).tobytes())
+                codes[starts[k]] = len(counts) + len(more) - 1
+            keep = np.repeat(~whole, sizes)
+            keep[starts] = True
+            codes, sizes = codes[keep], np.where(whole, 1, sizes)
+        if end_id is not None:
+            codes = np.insert(codes, np.cumsum(sizes), len(counts) + len(more))
+            sizes = sizes + 1
+            more.append(np.array([end_id], dtype="<i4").tobytes())
+        counts = np.concatenate([np.maximum(counts, 0), np.fromiter((len(x) // 4 for x in more), "i4", len(more))])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(more), dtype="<i4")])
+        entry = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat))
+        ends = np.append(0, np.cumsum(counts[codes], dtype="int64"))[np.append(0, np.cumsum(sizes))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entry.take(pa.array(codes)).flatten())
+
+    def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of ids of distinct pieces after a space, -1 for a piece of _Spaces, and the ids."""
+        word = pc.match_substring_regex(pieces, _WORD) if self.together else pa.array([False] * len(pieces), pa.bool_())
+        words, others = pieces.filter(word), pieces.filter(pc.invert(word))
+        counts, flat = np.full(len(pieces), -1, dtype="i4"), []
+        if len(words):
+            bounds = np.append(np.arange(0, len(words), TOGETHER), len(words))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), "\x01 ").to_pylist()
+            forms = [_TAIL.sub("\x02\\1\x01", f" {x}\x01".replace(" \n", "\n\x02")) for x in joined]
+            forms = [x.encode("utf-8").decode("latin-1").translate(_FORMS) for x in forms]
+            ids = [np.array(x.ids, dtype="<i4") for x in self.words.encode_batch_fast(forms, add_special_tokens=False)]
+            ids = np.concatenate(ids)
+            ids = ids[ids != self.cut]
+            ends = np.flatnonzero(ids == self.end)
+            word_counts, word_ids = np.diff(ends, prepend=-1) - 1, ids[ids != self.end]
+        else:
+            word_counts, word_ids = np.zeros(0, dtype="i4"), np.zeros(0, dtype="<i4")
+        other_ids = []
+        for piece in others.to_pylist():
+            try:
+                other_ids.append(self.seen[piece])
+            except _Spaces:
+                other_ids.append(None)
+        is_word = word.to_numpy(zero_copy_only=False)
+        counts[is_word] = word_counts
+        counts[~is_word] = [-1 if x is None else len(x) // 4 for x in other_ids]
+        flat = np.zeros(int(np.maximum(counts, 0).sum()), dtype="<i4")
+        of_word = np.repeat(is_word, np.maximum(counts, 0))
+        flat[of_word] = word_ids
+        flat[~of_word] = np.frombuffer(b"".join(x for x in other_ids if x is not None), dtype="<i4")
+        return counts, flat
+
     @staticmethod
     def _piece(seen: _Seen, piece: str) -> bytes:
         return seen.whole(piece) if _SPACE.search(piece) else seen[piece]
 
 
+def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of CHUNK bytes of a column's text, or of one row of more."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype="int64"))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(sizes, sizes[start] + CHUNK - size, side="right")) - 1, start)
+            if stop == start and not held:
+                stop += 1
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(sizes[stop] - sizes[start])
+                start = stop
+            if start < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One for each worker process: later tasks go on with the words that it has seen."""

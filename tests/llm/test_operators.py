@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,69 @@ def test_encoder_remembers_a_workers_words():
     assert e.ids(text).tolist() == first.tolist() and not calls
 
 
+def test_lists_are_the_tokenizer(monkeypatch):
+    rng, t = random.Random(3), tokenizer()
+    e = tokenizing.Encoder(token_files.default_tokenizer())
+    texts = ["".join(rng.choice(" .,\n\tab1é'_-日́|\0\1\2") for _ in range(rng.randrange(12))) for _ in range(5000)]
+    texts += [" ".join(words(rng, 30, 500)).replace("e ", ",\n").replace("a ", "é**. ") for _ in range(300)]
+    texts += ["<|endoftext|> a <|endoftext|>", "don't we'll a's", "a b \x1cc", "a\n\nb", "x, y\nz, 日本ö! ß", "w" * 99, "", None]
+    plain = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    rng.shuffle(order := list(range(len(texts))))
+    for kept, together in ((600_000, True), (20, True), (600_000, False)):
+        monkeypatch.setattr(tokenizing, "KEPT", kept)
+        e.together &= together
+        for k in range(0, len(order), 900):
+            part = order[k : k + 900]
+            assert e.lists(pa.array([texts[i] for i in part])).to_pylist() == [plain[i] for i in part]
+            assert len(e.known.pieces) <= kept and len(e.known.pieces) == len(e.known.counts) == len(e.known.used)
+    assert e.lists(pa.array(["a", None]), 2).to_pylist() == [[*plain_ids(t, "a"), 2], [2]]
+    assert e.lists(pa.array([], pa.string())).to_pylist() == []
+    monkeypatch.setattr(tokenizing, "TEXT", 20)
+    assert e.lists(pa.array(texts[-40:])).to_pylist() == plain[-40:]
+
+
+def plain_ids(t, text):
+    return t.encode(text, add_special_tokens=False).ids
+
+
+def test_new_words_are_encoded_together():
+    """Many words that are new take few calls of the model, and none when they come again."""
+    rng, t = random.Random(5), tokenizer()
+    e, calls = tokenizing.Encoder(token_files.default_tokenizer()), []
+    texts = [" ".join(words(rng, 400, 100_000)) for _ in range(50)]
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, forms, **more):
+            calls.extend(forms)
+            return self.model.encode_batch_fast(forms, **more)
+
+    e.words = Counted(e.words)
+    for s in (e.seen, e.first):
+        tokenize = s.tokenize
+        s.tokenize = lambda piece, tokenize=tokenize: calls.append(piece) or tokenize(piece)
+    assert e.lists(pa.array(texts)).to_pylist() == [plain_ids(t, x) for x in texts]
+    assert len({w for x in texts for w in x.split()}) > 10_000 and len(calls) < 200
+    calls.clear()
+    e.lists(pa.array(texts))
+    assert not calls
+
+
+def test_chunks():
+    sizes = [3, 0, 5, 30, 1, None, 2, 9, 10, 11, 4] * 3
+    rows = [(i, None if n is None else "x" * n) for i, n in enumerate(sizes)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in p]), pa.array([x for _, x in p], pa.string())], names=["i", "t"])
+               for p in (rows[:1], rows[1:9], [], rows[9:])]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokenizing, "CHUNK", 10)
+        got = list(tokenizing.chunks(iter(batches), 1))
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == rows
+    assert all(b.num_rows == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= 10 for b in got)
+    assert all(b.num_rows for b in got) and len(got) < 24
+
+
 def plain_sections(text, rule):
     t = tokenizer()
     sizes = tokenizing.token_bytes(token_files.default_tokenizer())
