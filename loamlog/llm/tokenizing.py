@@ -17,7 +17,7 @@ REMEMBERED, LENGTH = 200_000, 48
 #: Distinct pieces whose ids are kept from one chunk of texts to the next, at most; words in one call of the model.
 KEPT, TOGETHER = 600_000, 250
 #: Bytes of a chunk of texts, which has one text at least, and of a text that is encoded with others at most.
-CHUNK, TEXT = 8 << 20, 256 << 20
+CHUNK, TEXT = 4 << 20, 256 << 20
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A single space between two characters that aren't white space: a new piece always starts there.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -170,21 +170,27 @@ class Encoder:
         each distinct piece is looked up once, and the new ones are encoded by few calls of the model."""
         if not len(texts):
             return pa.array([], pa.list_(pa.int32()))
-        texts = pc.fill_null(texts.cast(pa.string()), "")
+        texts = texts.cast(pa.string())
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
         long = pc.greater(pc.binary_length(texts), TEXT)
-        plain = pc.if_else(long, "", texts)
-        cut = pc.replace_substring(pc.replace_substring(plain, "\n", " \n"), "\n \n", "\n\n")
+        cut = pc.if_else(long, "", texts) if pc.any(long).as_py() else texts
+        cut = pc.replace_substring(cut, "\n", " \n")
+        cut = pc.replace_substring(cut, "\n \n", "\n\n")
         cut = pc.split_pattern(cut, " ")
-        offsets, pieces = cut.offsets.to_numpy(), cut.values
-        found = pieces.dictionary_encode()
+        offsets = cut.offsets.to_numpy()
+        starts = offsets[:-1]
+        heads = cut.values.take(pa.array(starts)).to_pylist()
+        found = cut.values.dictionary_encode()
+        del cut
         place, counts, flat = self.known(found.dictionary)
         codes = place[found.indices.to_numpy()]
-        starts = offsets[:-1]
+        del found, place
         # What isn't a piece after a space has an entry of its own: heads, whole texts, the end.
         more: list[bytes] = []
         entries: dict[str, int] = {}
         whole = long.to_numpy(zero_copy_only=False).copy()
-        for k, head in enumerate(pieces.take(pa.array(starts)).to_pylist()):
+        for k, head in enumerate(heads):
             if head not in entries:
                 try:
                     more.append(self.first[head] if head else b"")
@@ -212,8 +218,9 @@ class Encoder:
         counts = np.concatenate([np.maximum(counts, 0), np.fromiter((len(x) // 4 for x in more), "i4", len(more))])
         flat = np.concatenate([flat, np.frombuffer(b"".join(more), dtype="<i4")])
         entry = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat))
-        ends = np.append(0, np.cumsum(counts[codes], dtype="int64"))[np.append(0, np.cumsum(sizes))]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entry.take(pa.array(codes)).flatten())
+        ids = entry.take(pa.array(codes))
+        ends = ids.offsets.to_numpy()[np.append(0, np.cumsum(sizes))]
+        return pa.ListArray.from_arrays(pa.array(ends), ids.values)
 
     def _pieces(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of ids of distinct pieces after a space, -1 for a piece of _Spaces, and the ids."""
